@@ -15,7 +15,7 @@ def lookup_join(rows: DataFrame, mapping: DataFrame, key: str, weight: str, spre
     """
     values = [c for c in mapping.columns if c not in (key, weight)]
     least = F.coalesce(mapping.select(F.sum(weight)).scalar(), F.lit(0)) / parts
-    hot = mapping.where(F.col(weight) >= least).limit(parts + 1).select(key, F.struct(*values).alias("_hot"))
+    hot = mapping.where(F.col(weight) >= least).select(key, F.struct(*values).alias("_hot"))
     cold = mapping.where(F.col(weight) < least).select(key, F.lit(0).alias("_salt"), F.struct(*values).alias("_cold"))
     marked = rows.join(F.broadcast(hot), key, "left")
     salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int") + 1).otherwise(0)
