@@ -5,16 +5,17 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 INVISIBLE = "​‌‍­﻿"
 _READ_AS = {"‐": "-", "‑": "-", "‘": "'", "’": "'"}
 
 
-def _ranges(keep) -> str:
+def _ranges(codes: range, keep: Callable[[str], bool]) -> str:
     """The code points for which keep holds, as the inside of a character class."""
     out, start, last = [], None, None
-    for code in range(sys.maxunicode + 1):
+    for code in codes:
         if keep(chr(code)):
             if start is None:
                 start = code
@@ -22,20 +23,23 @@ def _ranges(keep) -> str:
         elif start is not None:
             out.append((start, last))
             start = None
+    if start is not None:
+        out.append((start, last))
     return "".join(re.escape(chr(a)) + ("-" + re.escape(chr(b)) if b > a else "") for a, b in out)
 
 
-@lru_cache(maxsize=1)
-def letter_class() -> str:
-    """A class for letters only: word characters that are no digits, '_' or other numbers (such as ² or Ⅻ)."""
-    other = _ranges(lambda c: c.isalnum() and unicodedata.category(c)[0] == "N" and not c.isdecimal())
-    return rf"[^\W\d_{other}]"
+@lru_cache(maxsize=None)
+def run_of(kind: str) -> str:
+    """A pattern for a run of characters whose Unicode category begins with kind. The basic plane is one class,
+    which the matcher reads from a bitmap; what lies beyond is tried only for characters from there."""
+    basic, beyond = (_ranges(r, lambda c: unicodedata.category(c).startswith(kind)) for r in (range(0x10000), range(0x10000, sys.maxunicode + 1)))
+    return rf"(?:[{basic}]++|(?=[\U00010000-\U0010FFFF])[{beyond}])++"
 
 
 @lru_cache(maxsize=1)
 def word_pattern() -> re.Pattern:
-    letter = letter_class()
-    return re.compile(rf"{letter}+(?:[-']{letter}+)*|\d+(?:[.,]\d+)?")
+    letters, digits = run_of("L"), run_of("Nd")
+    return re.compile(rf"{letters}(?:[-']{letters})*|{digits}(?:[.,]{digits})?")
 
 
 def clean(text: str) -> str:
