@@ -22,14 +22,13 @@ WORD_PATTERN = r"\p{L}+(?:[-']\p{L}+)*|\p{Nd}+(?:[.,]\p{Nd}+)?"
 _MAYBE_NOT_NFC = r"[^\x00-\x{2FF}\x{400}-\x{482}\x{48A}-\x{52F}\x{2010}-\x{2027}\x{2030}-\x{203A}\x{2190}-\x{21FF}]"
 
 
-@F.pandas_udf("string")
-def _nfc(texts: pd.Series) -> pd.Series:
+def _composed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
 def nfc(text: Column) -> Column:
     """Unicode NFC; null stays null."""
-    return F.coalesce(_nfc(F.when(text.rlike(_MAYBE_NOT_NFC), text)), text)
+    return F.coalesce(F.pandas_udf(_composed, "string")(F.when(text.rlike(_MAYBE_NOT_NFC), text)), text)
 
 
 def tokens(text: Column) -> Column:
