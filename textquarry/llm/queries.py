@@ -12,8 +12,11 @@ from textquarry.llm.encoding import encode_corpus
 from textquarry.llm.format_duplicates import SPELLINGS, collapsed
 from textquarry.llm.leakage import leaked_items
 from textquarry.llm.mixing import mix_sources
+from textquarry.llm.near_duplicates import near_duplicates, pairs_within_classes
+from textquarry.llm.split_overlap import overlap_report, overlapping_rows, split_overlaps
 from textquarry.llm.target_sample import draw_sample, plan_sample
 from textquarry.llm.term_frequency import term_frequencies
+from textquarry.llm.vector_neighbors import nearest_vectors, similar_pairs
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +35,27 @@ def p1_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_frequencies(_records(spark, sf_dir))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_pairs(nearest_vectors(_table(spark, sf_dir, "vectors"), k=5, min_cosine=0.85), 0.85)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes, _ = near_duplicates(_table(spark, sf_dir, "lenta"), width=3, threshold=0.5, min_words=20)
+    return pairs_within_classes(classes)
+
+
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "lenta"), width=3, threshold=0.5, min_words=20)[0]
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlapping_rows(*split_overlaps(_table(spark, sf_dir, "canonical_corpus")))
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap_report(*split_overlaps(_table(spark, sf_dir, "canonical_corpus")))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapsed(_table(spark, sf_dir, "reviews"))[1]
 
