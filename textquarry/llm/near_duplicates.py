@@ -4,8 +4,9 @@ A record is its set of word shingles. Its sketch has a fixed number of cells; ea
 cell and XORed into it. A shingle that only one of two sets holds changes one cell, so the number of cells in
 which two sketches differ is at most the size of the sets' symmetric difference: two alike sets have many
 equal cells, and by the pigeonhole principle some of those hold shingles. The join key is a cell with its
-content, within a band of set sizes, as the number of cells follows the size. Candidates are verified on the
-sets themselves.
+content, within a band of set sizes, as the number of cells follows the size. Of the candidates, those whose
+bit sketches (a bit flipped by each shingle) differ in more bits than alike sets of their sizes can differ in
+shingles are dropped; the rest are verified on the sets themselves.
 """
 
 from __future__ import annotations
@@ -53,6 +54,8 @@ def cell_keys(tokens: np.ndarray, threshold: float, first_cells: int = 64) -> np
     shingle as a key, as cells are few there.
     """
     n, out, band = len(tokens), [], 0
+    if not n:
+        return np.empty(0, np.uint64)
     spread = mixed(tokens.astype(np.uint64) * _ODD[2])
     while True:
         cells, most = first_cells << band, first_cells * 4 << band
@@ -69,7 +72,7 @@ def cell_keys(tokens: np.ndarray, threshold: float, first_cells: int = 64) -> np
         band += 1
     if n < first_cells // 2:
         out.append(mixed(spread ^ _ODD[1]))
-    return np.concatenate(out) if n else np.empty(0, np.uint64)
+    return np.concatenate(out)
 
 
 def set_hash(x: np.ndarray) -> np.ndarray:
@@ -77,12 +80,23 @@ def set_hash(x: np.ndarray) -> np.ndarray:
     return np.bitwise_xor.reduce(mixed(x * _ODD[4]), keepdims=True) + mixed(x).sum(keepdims=True, dtype=np.uint64)
 
 
+SKETCH_WORDS = 8
+_SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
+
+
+def bit_sketch(tokens: np.ndarray) -> np.ndarray:
+    """64 * SKETCH_WORDS bits, each the parity of the shingles hashed to it: a shingle of only one of two sets
+    flips one bit, so two sketches differ in at most as many bits as the sets in shingles."""
+    bits = np.bincount((mixed(tokens.astype(np.uint64) * _ODD[0]) >> np.uint64(40)).astype(np.int64) % (64 * SKETCH_WORDS), minlength=64 * SKETCH_WORDS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
 def shingle_sets(df: DataFrame, record_id: str, title: str | None, text: str, width: int, min_words: int) -> DataFrame:
-    """(record_id, set_id, tokens): the shingle set of each row whose text has min_words words or more.
+    """(record_id, set_id, size, s0.., tokens): the shingle set of each row whose text has min_words words or more.
 
     tokens are the upper halves of the shingles' 64-bit hashes; set_id, made of all their bits, is the same for
     equal sets. The content is title, line break, text; a null title is empty, a null text has no words.
@@ -93,7 +107,7 @@ def shingle_sets(df: DataFrame, record_id: str, title: str | None, text: str, wi
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in (whole.slice(at, 2000) for at in range(0, whole.num_rows, 2000)):
-                kept, ids, tokens = [], [], []
+                kept, ids, tokens, sketches = [], [], [], [np.empty((0, SKETCH_WORDS), np.int64)]
                 for i, (head, body) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
                     own = words(body.as_py())
                     if len(own) < max(1, min_words):
@@ -101,10 +115,15 @@ def shingle_sets(df: DataFrame, record_id: str, title: str | None, text: str, wi
                     s = shingles(hashed(words(head.as_py()) + own), width)
                     kept.append(i)
                     ids.append(set_hash(s)[0])
-                    tokens.append((s >> np.uint64(32)).astype(np.uint32).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), _signed(np.array(ids, np.uint64)), pa.array(tokens, pa.binary())], ["record_id", "set_id", "tokens"])
+                    short = (s >> np.uint64(32)).astype(np.uint32)
+                    tokens.append(short.tobytes())
+                    sketches.append(bit_sketch(short)[None, :])
+                sketch = np.concatenate(sketches)
+                arrays = [batch.column(0).take(pa.array(kept, pa.int64())), _signed(np.array(ids, np.uint64)), pa.array([len(t) // 4 for t in tokens], pa.int32())]
+                yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(SKETCH_WORDS)], pa.array(tokens, pa.binary())], names)
 
-    return df.select(*columns).mapInArrow(sets, f"record_id {kind}, set_id long, tokens binary")
+    names = ["record_id", "set_id", "size", *_SKETCH, "tokens"]
+    return df.select(*columns).mapInArrow(sets, f"record_id {kind}, set_id long, size int, {', '.join(f'{c} long' for c in _SKETCH)}, tokens binary")
 
 
 def _keys(batches: Iterator[pa.RecordBatch], threshold: float, forwarded: int) -> Iterator[pa.RecordBatch]:
@@ -121,12 +140,13 @@ def _keys(batches: Iterator[pa.RecordBatch], threshold: float, forwarded: int) -
         late = np.flatnonzero(rank >= forwarded)
         near = ids[late - 1 - (rank[late] - 1) * (rank[late] % 2)]  # by turns the bucket's first set and the one before
         early = np.flatnonzero(rank < forwarded)
+        early = early[np.argsort(order[early])]  # by set again, so that equal ids lie together and compress
         columns = [_signed(np.r_[keys[early], keys[late]]), pa.array(np.r_[ids[early], ids[late]]), pa.array(np.r_[np.zeros(len(early), np.int64), near], mask=np.r_[np.ones(len(early), bool), np.zeros(len(late), bool)])]
         yield pa.RecordBatch.from_arrays(columns, ["key", "set_id", "near"])
 
 
 def candidate_pairs(sets: DataFrame, threshold: float, forwarded: int = 8) -> DataFrame:
-    """(a, b) with a < b: distinct set_ids of (set_id, tokens) that have a filled cell in common.
+    """(a, b) with a < b: distinct set_ids of (set_id, tokens) that have two filled cells in common.
 
     A key with up to five sets gives all their pairs. In a larger one each set is paired with the key's first
     set and the three before it: sets alike share a dozen keys or more, so all meet in small ones too, and
@@ -139,7 +159,16 @@ def candidate_pairs(sets: DataFrame, threshold: float, forwarded: int = 8) -> Da
     others = [F.lag("set_id", i).over(by_key) for i in (1, 2, 3)] + [F.first("set_id").over(by_key), F.col("near")]
     met = keyed.select("set_id", *[x.alias(f"o{i}") for i, x in enumerate(others)])
     met = met.where("o0 is not null or o4 is not null").select("set_id", F.explode(F.array(*[f"o{i}" for i in range(5)])).alias("other"))
-    return met.where("other is not null and other <> set_id").select(F.least("set_id", "other").alias("a"), F.greatest("set_id", "other").alias("b")).distinct()
+    return met.where("other is not null and other <> set_id").select(F.least("set_id", "other").alias("a"), F.greatest("set_id", "other").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("met")).where("met > 1").select("a", "b")
+
+
+def within_bound(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose sizes and bit sketches leave it possible that they are alike; no such pair is lost."""
+    sides = [sets.select(F.col("set_id").alias(x), F.col("size").alias(f"n_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in _SKETCH]) for x in "ab"]
+    differing = sum(F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _SKETCH)
+    most = (F.col("n_a") + F.col("n_b")) * F.lit((1 - threshold) / (1 + threshold)) + 1e-6
+    sizes = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold - 1e-6
+    return pairs.join(sides[0], "a").join(sides[1], "b").where(sizes & (differing <= most)).select("a", "b")
 
 
 def verified_links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -177,7 +206,9 @@ def near_duplicates(df: DataFrame, record_id: str = "row_id", title: str | None
     """
     rows = materialize(shingle_sets(df.where(F.col(record_id).isNotNull()), record_id, title, text, width, min_words), "sets")
     sets = rows.select("set_id", "tokens").dropDuplicates(["set_id"])
-    links = materialize(verified_links(candidate_pairs(sets, threshold), sets, threshold), "verified")
+    pairs = materialize(candidate_pairs(sets, threshold), "candidates")
+    pairs = materialize(within_bound(pairs, rows.select("set_id", "size", *_SKETCH).distinct(), threshold), "possible")
+    links = materialize(verified_links(pairs, sets, threshold), "verified")
     components = connected_components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count(F.lit(1)).alias("links"))
     nodes = rows.groupBy("set_id").agg(F.min("record_id").alias("first"), F.count(F.lit(1)).alias("copies"))

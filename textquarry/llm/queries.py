@@ -13,6 +13,7 @@ from textquarry.llm.format_duplicates import SPELLINGS, collapsed
 from textquarry.llm.leakage import leaked_items
 from textquarry.llm.mixing import mix_sources
 from textquarry.llm.near_duplicates import near_duplicates, pairs_within_classes
+from textquarry.llm.reading_level import reading_levels
 from textquarry.llm.split_overlap import overlap_report, overlapping_rows, split_overlaps
 from textquarry.llm.target_sample import draw_sample, plan_sample
 from textquarry.llm.term_frequency import term_frequencies
@@ -109,5 +110,14 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))[1]
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels = reading_levels(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "reading_labels"))
+    return levels.where("band = 5 and words >= 40").select("doc_id")
+
+
+def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading_levels(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "reading_labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
