@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -141,10 +142,8 @@ def reading_levels(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_i
     leaves: list[list] = [[] for _ in forest]
     placed = table.select("*", *[F.expr(tree_sql(tree, own)).alias(f"leaf_{i}") for i, (tree, own) in enumerate(zip(forest, leaves, strict=True))])
 
-    def share(band: int):
-        return sum(F.element_at(F.lit([round(float(x[band]), 6) for x in own]), F.col(f"leaf_{i}")) for i, own in enumerate(leaves))
-
-    scored = placed.select("*", *[share(band).alias(f"share_{band}") for band in range(1, 6)])
-    most = F.greatest(*[F.col(f"share_{b}") for b in range(1, 6)])
-    band = F.coalesce(*[F.when(F.col(f"share_{b}") == most, b) for b in range(1, 6)])
+    shares = [F.element_at(F.lit([[round(float(x), 6) for x in leaf[1:]] for leaf in own]), F.col(f"leaf_{i}")) for i, own in enumerate(leaves)]
+    total = reduce(lambda x, y: F.zip_with(x, y, lambda a, b: a + b), shares)
+    scored = placed.withColumn("shares", total)
+    band = F.array_position("shares", F.array_max("shares")).cast("int")  # the easier of two equal bands
     return scored.withColumn("band", F.when(F.col("russian"), band)).select(*table.columns, "band")
