@@ -9,6 +9,7 @@ from textquarry.errors import InvalidInput
 from textquarry.functions.java_random import JavaRandom
 from textquarry.functions.normalize import prepared_tokens
 from textquarry.functions.text import body_key, comparison_key
+from textquarry.operators.dedup import first_rows, greedy_unique
 from textquarry.session import materialize
 
 
@@ -28,9 +29,7 @@ def candidates(documents: DataFrame, qrels: DataFrame, limit: int) -> tuple[Data
     relevant = usable.where("_judged").groupBy("id").agg(F.min_by(F.struct(*documents.columns), "seq").alias("r")).select("r.*")
     # The first row of an id is either background or its body was taken; so bodies compete among those rows, and a
     # later row of an id whose first body was taken can still enter. greedy order over (id, body) decides.
-    from textquarry.operators.dedup import greedy_unique
-
-    unique = materialize(greedy_unique(usable, "seq", ["id", "_body"]).orderBy("seq").limit(limit), "background")
+    unique = materialize(first_rows(greedy_unique(usable, "seq", ["id", "_body"]), "seq", limit), "background")
     last = unique.agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last")).first()
     full = last["n"] == limit
     within = F.col("seq") <= F.lit(last["last"] if full else 2**62)
@@ -96,7 +95,7 @@ def build_subset(documents: DataFrame, queries: DataFrame, qrels: DataFrame, siz
     taken = relevant.join(first, "id")
     body = F.sha2(body_key(F.col("text")), 256)
     rest = background.join(first, "id", "left_anti").withColumn("_body", body).join(taken.select(body.alias("_body")).distinct(), "_body", "left_anti")
-    rest = rest.orderBy("seq").limit(size - len(ids)).withColumn("_order", F.col("seq") + len(ids))
+    rest = first_rows(rest, "seq", size - len(ids)).withColumn("_order", F.col("seq") + len(ids))
     columns = ["id", "title", "text", "_order"]
     whole = materialize(taken.select(*columns).unionByName(rest.select(*columns)).withColumnRenamed("_order", "seq"), "collection")
     n = whole.count()

@@ -123,6 +123,29 @@ def greedy_unique(df: DataFrame, order: str, keys: list[str], rounds: int = 1000
     raise RuntimeError("rows stayed undecided")
 
 
+def first_rows(df: DataFrame, order: str, n: int, held: int = 100_000, buckets: int = 1024) -> DataFrame:
+    """The n rows of smallest order, a unique whole number. Up to `held` rows are a top-n; for more, the n-th value
+    is found by counting ranges of values, so rows are neither sorted nor gathered."""
+    if n <= held:
+        return df.orderBy(order).limit(n)
+    if df.isEmpty():
+        return df
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    below = 0
+    while low < high:
+        width = max(1, -(-(high - low + 1) // buckets))
+        inside = df.where(F.col(order).between(low, high))
+        counts = inside.groupBy(F.floor((F.col(order) - low) / width).alias("b")).count().orderBy("b").collect()
+        for b, count in counts:
+            if below + count >= n:
+                low, high = low + b * width, min(high, low + (b + 1) * width - 1)
+                break
+            below += count
+        else:
+            return df
+    return df.where(F.col(order) <= low)
+
+
 def load_corpus(documents: DataFrame, limit: int, minimum: int = 2) -> tuple[DataFrame, DataFrame]:
     """(corpus, counters) of documents (id, title, text, seq): the first `limit` rows, in source order, with tokens
     whose id and body no accepted row has had. counters has scanned, empty and duplicates of the rows up to the
@@ -131,7 +154,7 @@ def load_corpus(documents: DataFrame, limit: int, minimum: int = 2) -> tuple[Dat
         raise InvalidInput("the limit is at least 2")
     usable = documents.withColumn("_tokens", has_tokens(F.col("text"))).withColumn("_body", F.sha2(F.coalesce("text", F.lit("")), 256))
     unique = greedy_unique(usable.where("_tokens"), "seq", ["id", "_body"])
-    corpus = materialize(unique.orderBy("seq").limit(limit).drop("_tokens", "_body"), "corpus")
+    corpus = materialize(first_rows(unique, "seq", limit).drop("_tokens", "_body"), "corpus")
     found = corpus.agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last")).first()
     if found["n"] < minimum:
         raise InvalidInput(f"{minimum} documents with text are needed, there are {found['n']}")

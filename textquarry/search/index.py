@@ -24,11 +24,15 @@ def is_zero(vec):
     return ~F.exists(vec, lambda x: x != 0)
 
 
-def build_index(vectors: DataFrame, doc_id: str = "doc_id", vec: str = "vec", dimensions: int | None = None, keep_zero: bool = False) -> tuple[DataFrame, DataFrame]:
+def build_index(vectors: DataFrame, doc_id: str = "doc_id", vec: str = "vec", dimensions: int | None = None, keep_zero: bool = False, strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """(index, zero): index (doc_id, vec) of unit vectors; zero has the ids of zero vectors, which stay in the index
-    only with keep_zero. Vectors that are null, not finite or of another length are an error when read."""
+    only with keep_zero. Vectors that are null, not finite or of another length are an error, or left out if not
+    strict."""
     ok = valid(F.col("vec"), dimensions)
-    checked = vectors.select(F.col(doc_id).alias("doc_id"), F.col(vec).cast("array<double>").alias("vec")).withColumn("vec", F.when(ok, F.col("vec")).otherwise(F.raise_error(F.lit("a vector is not finite or of another length")).cast("array<double>")))
+    rows = vectors.select(F.col(doc_id).alias("doc_id"), F.col(vec).cast("array<double>").alias("vec"))
+    if strict and (bad := rows.where(~ok).count()):
+        raise InvalidInput(f"{bad} vectors are not finite or of another length")
+    checked = rows.where(ok)
     length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
     unit = checked.withColumn("_n", length).withColumn("vec", F.when(F.col("_n") > 0, F.transform("vec", lambda x: x / F.col("_n"))).otherwise(F.col("vec")))
     zero = unit.where("_n = 0").select("doc_id")
