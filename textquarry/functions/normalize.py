@@ -6,7 +6,8 @@ import re
 from collections.abc import Callable
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,15 +29,20 @@ def stem_token(token: str) -> str:
     return "".join(stem(p).replace("ё", "е") if _CYRILLIC.fullmatch(p) else p for p in parts)
 
 
-def _stemmed(lists: pd.Series) -> pd.Series:
-    return lists.map(lambda ts: None if ts is None else [stem_token(t) for t in ts])
+def _stemmed(lists: pa.Array) -> pa.Array:
+    """Each distinct token of a batch is stemmed once."""
+    values = lists.flatten().dictionary_encode()
+    stems = pa.array([stem_token(t) for t in values.dictionary.to_pylist()], pa.string()).take(values.indices)
+    lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+    return pa.ListArray.from_arrays(offsets, stems, mask=lists.is_null())
 
 
 def stemmed(tokens_: Column) -> Column:
     """Stems of a token array; each worker keeps those of frequent tokens. Arrays without a Cyrillic letter stay
     on the JVM."""
     has = F.exists(tokens_, lambda t: t.rlike("[а-я]"))
-    return F.coalesce(F.pandas_udf(_stemmed, "array<string>")(F.when(has, tokens_)), tokens_)
+    return F.coalesce(F.arrow_udf(_stemmed, "array<string>")(F.when(has, tokens_)), tokens_)
 
 
 def lemma_token(token: str, lemmas: Callable[[str], str | None]) -> str:

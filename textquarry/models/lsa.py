@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from textquarry.errors import InvalidInput, ModelTrainingError
 from textquarry.operators.terms import document_frequencies, idf, term_frequencies, tfidf, vocabulary_ids
+from textquarry.session import materialize
 
 MAX_CELLS = 20_000_000
 
@@ -65,7 +66,7 @@ def gram_matrix(rows: DataFrame, features: int, max_cells: int = MAX_CELLS) -> n
 
     parts = rows.select("ids", "values").mapInArrow(partial, "row int, part binary")
     out = np.zeros((features, features))
-    for r in parts.groupBy("row").applyInPandas(added, "row int, part binary").toLocalIterator():
+    for r in parts.groupBy("row").applyInPandas(added, "row int, part binary").collect():  # max_cells bounds it
         out[r["row"]] = np.frombuffer(r["part"])
     return out
 
@@ -84,16 +85,15 @@ def decompose(gram: np.ndarray, components: int) -> tuple[np.ndarray, np.ndarray
 def fit(docs: DataFrame, dimensions: int = 50, max_features: int = 2000, doc_id: str = "doc_id", tokens: str = "tokens", unit: bool = True) -> Lsa:
     """components: the smaller of dimensions and min(documents, terms) - 1. unit scales documents to length 1; without
     it coordinates are those of the SVD."""
+    docs = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(tokens).alias("tokens")), "tokens")
     n = docs.count()
-    stats = vocabulary_ids(document_frequencies(docs, tokens), max_features, alphabetic=True)
+    stats = vocabulary_ids(document_frequencies(docs), max_features, alphabetic=True)
     vocabulary = idf(stats, n).select("term", "term_id", "idf")
-    from textquarry.session import materialize
-
     vocabulary = materialize(vocabulary, "vocabulary")
     features = vocabulary.count()
     if n < 2 or features < 2:
         raise ModelTrainingError("two documents and two terms are needed")
-    rows = sparse_rows(tfidf(term_frequencies(docs, doc_id, tokens), vocabulary), vocabulary)
+    rows = sparse_rows(tfidf(term_frequencies(docs), vocabulary), vocabulary)
     projection, values = decompose(gram_matrix(rows, features), min(dimensions, n - 1, features - 1))
     if not len(values):
         raise ModelTrainingError("no document has a known term")

@@ -104,7 +104,7 @@ def _split_sql() -> str:
 
 
 _OK = "vec IS NOT NULL AND len(vec) = 64 AND len(list_filter(vec, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
-_UNIT = f"""usable AS MATERIALIZED (SELECT vec_id, vec FROM vectors WHERE {_OK}),
+_UNIT = f"""usable AS MATERIALIZED (SELECT vec_id, list_transform(vec, lambda x: coalesce(x, 0)) AS vec FROM vectors WHERE {_OK}),
  units AS MATERIALIZED (SELECT vec_id, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) AS vec FROM usable WHERE list_dot_product(vec, vec) > 0)"""
 _LABELS = """e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings WHERE list_dot_product(embedding, embedding) > 0),
  pairs AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, q.label = d.label AS same, list_cosine_similarity(q.v, d.v) AS c FROM e q JOIN e d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0),
