@@ -217,7 +217,7 @@ def nearest_vectors(
             for name, bound in (("low", low), ("high", high)):
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(bound)), pa.array(bound.index, pa.int64()), pa.array(bound.to_numpy().tolist(), pa.list_(pa.float64()))], ["side", "cell", "bound"])
 
-    parts = spark.read.parquet(folder).select("point", F.col("cell").cast("long")).mapInArrow(boxes, "side string, cell long, bound array<double>")
+    parts = spark.read.schema("point binary, cell long").parquet(folder).mapInArrow(boxes, "side string, cell long, bound array<double>")
     flat = parts.select("side", "cell", F.posexplode("bound"))
     bounds = flat.groupBy("cell", "pos").agg(F.min("col").alias("low"), F.max("col").alias("high")).toPandas() if n else pd.DataFrame(columns=["cell", "pos", "low", "high"])
     filled = np.sort(bounds["cell"].unique()).astype(np.int64)
