@@ -31,15 +31,15 @@ def _files(folder: Path) -> dict[str, str]:
     return {str(p.relative_to(folder)): checksum(p) for p in sorted(folder.rglob("*")) if p.is_file() and p.name != "manifest.json" and not p.name.startswith((".", "_"))}
 
 
-def save(model, folder: str, details: dict | None = None) -> dict:
-    """Write a model into a new folder; an existing one is left as it is and is an error."""
+def save(model, folder: str, details: dict | None = None, documents: DataFrame | None = None) -> dict:
+    """Write a model, and its documents if given, into a new folder; an existing one stays and is an error."""
     target = Path(folder)
     if target.exists():
         raise ModelExportError(f"{folder} exists")
     work = Path(tempfile.mkdtemp(dir=target.parent, prefix=f".{target.name}-"))
     try:
         kind, tables, arrays, values = _parts(model)
-        for name, df in tables.items():
+        for name, df in (tables | ({"documents": documents} if documents is not None else {})).items():
             df.write.parquet(f"file://{work}/{name}")
         if arrays:
             np.savez(work / "arrays.npz", **arrays)

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import bz2
+import codecs
+import csv
+import gzip
+import io
 import zipfile
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,8 +26,40 @@ SPLITS = ("train", "validation", "test")
 DOCUMENT = "id string, title string, text string"
 
 
+# Encodings that Spark's reader takes; files in others are decoded whole, one file a task.
+NATIVE_ENCODINGS = {"utf-8", "us-ascii", "iso-8859-1", "utf-16", "utf-16be", "utf-16le", "utf-32"}
+
+
+def _decoded(spark: SparkSession, path: str, delimiter: str, encoding: str, names: list[str] | None) -> DataFrame:
+    """Rows of files in an encoding that only Python decodes, as arrays of fields, the header left out; without
+    names the header itself."""
+    codecs.lookup(encoding)
+    width = len(names or ())
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data = bz2.decompress(content) if name.endswith(".bz2") else gzip.decompress(content) if name.endswith(".gz") else content
+                rows = csv.reader(io.StringIO(data.decode(encoding), newline=""), delimiter=delimiter, strict=True)
+                header = next(rows, [])
+                if names is None:
+                    yield pa.RecordBatch.from_arrays([pa.array([header], pa.list_(pa.string()))], ["fields"])
+                    continue
+                held = [r + [""] * (width - len(r)) for r in rows if r]
+                if any(len(r) > width for r in held):
+                    raise ValueError(f"{name}: a row has more fields than the header")
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.string()))], ["fields"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(parse, "fields array<string>")
+
+
 def _header(spark: SparkSession, path: str, delimiter: str, encoding: str) -> list[str]:
     """Column names of the first line; only that line is read."""
+    if encoding.lower() not in NATIVE_ENCODINGS:
+        first = _decoded(spark, path, delimiter, encoding, None).first()
+        if not first or not first["fields"]:
+            raise CorpusReadError(f"{path}: empty")
+        return first["fields"]
     rows = spark.read.options(sep=delimiter, encoding=encoding, quote='"', escape='"', multiLine=False).csv(path).limit(1).collect()
     if not rows:
         raise CorpusReadError(f"{path}: empty")
@@ -42,6 +80,8 @@ def read_table(spark: SparkSession, path: str, required: Sequence[str] = (), del
         raise CorpusReadError(f"{path}: no column {', '.join(missing)}")
     if len(set(names)) < len(names):
         raise CorpusReadError(f"{path}: a column stands twice")
+    if encoding.lower() not in NATIVE_ENCODINGS:
+        return _decoded(spark, path, delimiter, encoding, names).select(*[F.col("fields")[i].alias(n) for i, n in enumerate(names)])
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     df = spark.read.options(**CSV_OPTIONS, sep=delimiter, encoding=encoding).schema(schema).csv(path)
     return df.select(*[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names])
@@ -147,7 +187,7 @@ def read_zip(spark: SparkSession, path: str, entry: str = "corpus.jsonl") -> Dat
 
 def read_text_folder(spark: SparkSession, path: str) -> DataFrame:
     """All .txt files below a folder, in whatever letter case: id is the path from the folder, title the name."""
-    files = spark.read.options(wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.[tT][xX][tT]").text(path)
+    files = spark.read.options(recursiveFileLookup=True, pathGlobFilter="*.[tT][xX][tT]").text(path, wholetext=True)
     name = F.regexp_replace(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")), r"^file:/+", "/")
     root = "/" + str(Path(path.removeprefix("file://")).resolve()).strip("/") + "/"
     relative = F.expr(f"substring(_path, {len(root) + 1})")
