@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textquarry.session import materialize
+
 
 def lookup_join(rows: DataFrame, mapping: DataFrame, key: str, weight: str, spread: str, parts: int = 1000, salts: int = 256) -> DataFrame:
     """Inner join of rows with a mapping that has each key once and, in weight, how many rows hold it.
@@ -14,6 +16,7 @@ def lookup_join(rows: DataFrame, mapping: DataFrame, key: str, weight: str, spre
     shuffle. All other keys join by shuffle. Null keys match nothing; the result has no order.
     """
     values = [c for c in mapping.columns if c not in (key, weight)]
+    mapping = materialize(mapping, "mapping")  # it is read three times
     least = F.coalesce(mapping.select(F.sum(weight)).scalar(), F.lit(0)) / parts
     hot = mapping.where(F.col(weight) >= least).select(key, F.struct(*values).alias("_hot"))
     cold = mapping.where(F.col(weight) < least).select(key, F.lit(0).alias("_salt"), F.struct(*values).alias("_cold"))
