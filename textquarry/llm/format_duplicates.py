@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textquarry.functions.text import category, nfc
 from textquarry.functions.words import INVISIBLE
 from textquarry.operators.skew import lookup_join
+from textquarry.session import materialize
 
 # Fixed value: a misspelled label of the data.
 SPELLINGS = {"neautral": "neutral"}
@@ -43,11 +44,13 @@ def collapsed(df: DataFrame, record_id: str = "review_id", text: str = "review",
     rows = df.select(F.col(record_id).alias("_id"), F.col(text).alias("_text"), F.col(label).alias("_label"), F.col(attributes).alias("_attrs")).where("_text is not null and _id is not null")
     raw_key = _key("_text", "_label", "_attrs")
     raw = rows.groupBy("_text", "_label", "_attrs").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_copies"))
-    runs = raw.withColumn("_runs", canonical_runs(F.col("_text"))).where(F.size("_runs") >= min_runs)
-    forms = runs.select(
-        raw_key.alias("_raw"), "_first", "_copies", F.array_join("_runs", " ").alias("_canonical"),
+    forms = raw.withColumn("_runs", canonical_runs(F.col("_text"))).select(
+        raw_key.alias("_raw"), "_first", "_copies", F.size("_runs").alias("_n"), F.array_join("_runs", " ").alias("_canonical"),
         category(F.col("_label"), SPELLINGS).alias("_sentiment"), canonical_json(F.col("_attrs")).alias("_attributes"),
     )
+    # Written once: three steps read it, and a filter on it would otherwise be moved before the collapse, so that
+    # every row would be canonicalised.
+    forms = materialize(forms, "forms").where(F.col("_n") >= min_runs)
     canonical = ["_canonical", "_sentiment", "_attributes"]
     groups = forms.groupBy(*canonical).agg(F.min("_first").alias("kept_id"), F.sum("_copies").alias("copies"), F.count(F.lit(1)).alias("raw_forms"))
     repeated = groups.where("copies > 1").select(_key(*canonical).alias("_group"), "kept_id", "raw_forms")
