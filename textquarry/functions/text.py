@@ -8,9 +8,11 @@ stay on the JVM.
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,10 +71,14 @@ def has_tokens(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}|\p{Nd}"), F.lit(False))
 
 
+def _counted(lists: pa.Array) -> pa.Array:
+    rows = [None if t is None else sorted(Counter(t).items()) for t in lists.to_pylist()]
+    return pa.array(rows, pa.map_(pa.string(), pa.int64()))
+
+
 def frequency_map(tokens_: Column) -> Column:
-    """Map of token to count, keys in order."""
-    ordered = F.array_sort(F.array_distinct(tokens_))
-    return F.map_from_arrays(ordered, F.transform(ordered, lambda t: F.size(F.filter(tokens_, lambda x: x == t))))
+    """Map of token to count, keys in order; counted per array, whatever its length."""
+    return F.arrow_udf(_counted, "map<string, bigint>")(tokens_)
 
 
 def strip(text: Column) -> Column:

@@ -59,7 +59,7 @@ def hashed_splits(df: DataFrame, shares: Mapping[str, float], label: str = "labe
     before = F.sum("count").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     placed = sizes.select(F.col(label).alias("_label"), F.col("_part").alias("_p"), F.coalesce(before, F.lit(0)).alias("_before"), F.sum("count").over(whole).alias("_rows"))
     rank = F.row_number().over(Window.partitionBy(label, "_part").orderBy("_digest", row_id))
-    ranked = keyed.withColumn("_rank", rank).join(F.broadcast(placed), F.col(label).eqNullSafe(F.col("_label")) & (F.col("_part") == F.col("_p")))
+    ranked = keyed.withColumn("_rank", rank).join(placed, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_part") == F.col("_p")))
     names = [s for s in SPLITS if s in shares]
     exact = {s: F.col("_rows") * F.lit(float(shares[s])) for s in names}
     # Largest remainder in SQL: a split gains a row if fewer splits precede it by remainder than rows are left.

@@ -191,13 +191,8 @@ def read_text_folder(spark: SparkSession, path: str) -> DataFrame:
     name = F.regexp_replace(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")), r"^file:/+", "/")
     root = "/" + str(Path(path.removeprefix("file://")).resolve()).strip("/") + "/"
     relative = F.expr(f"substring(_path, {len(root) + 1})")
-    return files.select(name.alias("_path"), "value").select(relative.alias("id"), F.regexp_extract("_path", "[^/]+$", 0).alias("title"), F.col("value").alias("text"), F.row_number().over(_by("_path")).cast("long").alias("seq"))
-
-
-def _by(column: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(column)
+    ordered = files.select(name.alias("_path"), "value").orderBy("_path")
+    return ordered.select(relative.alias("id"), F.regexp_extract("_path", "[^/]+$", 0).alias("title"), F.col("value").alias("text"), F.monotonically_increasing_id().alias("seq"))
 
 
 def _is_folder(path: str) -> bool:
