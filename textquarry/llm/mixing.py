@@ -97,7 +97,7 @@ def mix_sources(
     # Blocks in which no document begins are drawn too: a long document stands for all the blocks it fills.
     drawn = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks").cast("long") - 1)).alias("block")
     ranked = counts.select("source", "shard", drawn).withColumn("_rank", F.row_number().over(Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 2), "source", "shard", "block"), "block")))
-    copies = ranked.join(F.broadcast(quota), ["source", "shard"]).select("source", "shard", "block", (F.col("every") + (F.col("_rank") <= F.col("extra")).cast("int")).alias("copies")).where("copies > 0")
+    copies = ranked.join(quota, ["source", "shard"]).select("source", "shard", "block", (F.col("every") + (F.col("_rank") <= F.col("extra")).cast("int")).alias("copies")).where("copies > 0")
     mix = placed.join(copies.join(names, ["source", "shard", "block"], "left_semi"), ["source", "shard", "block"]).select(F.col("doc_id").cast(kind), "source", "tokens", "copies")
     mixed = mix.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"), F.max("copies").alias("most_copies"))
     report = (

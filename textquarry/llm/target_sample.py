@@ -8,7 +8,7 @@ import random
 from collections.abc import Hashable
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 
@@ -107,7 +107,10 @@ def plan_sample(rows: DataFrame, targets: DataFrame, max_cells: int = 100_000, s
     max_cells of them is an error, as strata must be few. Repeated targets are an error.
     """
     wanted: dict[str, list[Row]] = {}
-    for t in targets.where("dataset is not null and category is not null").orderBy("dataset", "category").collect():
+    given = targets.where("dataset is not null and category is not null").limit(max_cells + 1).collect()
+    if len(given) > max_cells:
+        raise ValueError(f"more than {max_cells} targets")
+    for t in sorted(given, key=lambda t: (t["dataset"], t["category"])):
         wanted.setdefault(t["dataset"], []).append(t)
     if any(len({t["category"] for t in ts}) < len(ts) for ts in wanted.values()):
         raise ValueError("a target is given twice")
@@ -155,6 +158,4 @@ def draw_sample(rows: DataFrame, quotas: DataFrame, row_id: str = "row_id", seed
 
 
 def _window(partition: list[str], *order: str):
-    from pyspark.sql import Window
-
     return Window.partitionBy(*partition).orderBy(*order)
