@@ -2,9 +2,9 @@
 
 Unit vectors are projected to a few dimensions by a Gaussian (2-stable) matrix: the squared projected distance
 of two vectors, over their squared distance, is chi-square distributed. A kd-tree over the projections orders
-the collection; a query takes its leaves by projected distance from it, verifies them, and stops once the next
-leaf is so far in the projection that a vector nearer than the k-th found would lie that far with a probability
-of at most 1 - confidence. The top of the tree, fitted on a bounded sample, cuts the collection into cells that
+the collection; a query takes its leaves by projected distance from it and verifies the vectors in them that are
+near enough in the projection, and stops once what is left lies so far there that a vector nearer than the k-th
+found would do so with a probability of at most 1 - confidence. The top of the tree, fitted on a bounded sample, cuts the collection into cells that
 tasks read from the shared folder; every row is indexed and every usable vector is a query.
 """
 
@@ -88,7 +88,7 @@ def leaf_order(points: np.ndarray, leaf_rows: int) -> tuple[np.ndarray, np.ndarr
 
 
 class Block:
-    """The vectors of one cell, in leaf order, with the box of each leaf in the projection."""
+    """The vectors of one cell, in leaf order, with their projections and the box of each leaf in the projection."""
 
     def __init__(self, keys: np.ndarray, units: np.ndarray, matrix: np.ndarray, leaf_rows: int):
         points = units @ matrix
@@ -96,6 +96,10 @@ class Block:
         self.keys, self.units, points = keys[order], units[order], points[order]
         self.ends = np.append(self.starts[1:], len(order))
         self.low, self.high = np.minimum.reduceat(points, self.starts), np.maximum.reduceat(points, self.starts)
+        self.squares = (points * points).sum(axis=1)
+        # With a last coordinate, one product tells how near two projections are.
+        self.points = np.column_stack([points, -self.squares / 2]).astype(np.float32)
+        self.asking = np.column_stack([points, np.ones(len(points))]).astype(np.float32)
 
 
 def box_distances(low: np.ndarray, high: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> np.ndarray:
@@ -113,38 +117,52 @@ class Search:
         self.key = np.zeros((len(block.keys), k), np.int64)
         self.found = np.zeros((len(block.keys), k), bool)
 
-    def reach(self) -> np.ndarray:
-        """Of each leaf, the squared projected distance at which its search stops."""
-        farthest = 2 - 2 * np.maximum(-1.0, self.cosine.min(axis=1))
-        return self.quantile * np.maximum.reduceat(farthest, self.block.starts) + 1e-9
+    def reach(self, at: slice = slice(None)) -> np.ndarray:
+        """Of each query, the squared projected distance at which its search stops."""
+        return self.quantile * (2 - 2 * np.maximum(-1.0, self.cosine[at].min(axis=1))) + 1e-6
+
+    def leaf_reach(self) -> np.ndarray:
+        return np.maximum.reduceat(self.reach(), self.block.starts)
 
     def over(self, other: Block, leaves_at_once: int = 16) -> None:
+        """Take the leaves of another block, nearest first, until none is in reach."""
         block = self.block
         for leaf, (a, b) in enumerate(zip(block.starts, block.ends, strict=True)):
             far = box_distances(block.low[leaf], block.high[leaf], other.low, other.high)
             order = np.argsort(far, kind="stable")
             for at in range(0, len(order), leaves_at_once):
-                reach = self.quantile * (2 - 2 * max(-1.0, self.cosine[a:b].min())) + 1e-9
+                reach = self.reach(slice(a, b))
                 near = order[at : at + leaves_at_once]
-                near = near[far[near] <= reach]
+                near = near[far[near] <= reach.max()]
                 if not len(near):
                     break
                 rows = np.concatenate([np.arange(other.starts[x], other.ends[x]) for x in near])
-                self._verify(slice(a, b), block.keys[a:b], block.units[a:b], other.keys[rows], other.units[rows])
-
-    def _verify(self, at: slice, own: np.ndarray, units: np.ndarray, keys: np.ndarray, others: np.ndarray) -> None:
-        cosines = units @ others.T
-        better = cosines >= self.cosine[at].min(axis=1)[:, None]
-        better &= own[:, None] != keys[None, :]
-        rows = np.flatnonzero(better.any(axis=1))
-        for r in rows:
-            columns = np.flatnonzero(better[r])
-            q = at.start + r
-            cosine = np.concatenate([self.cosine[q], cosines[r, columns]])
-            key = np.concatenate([self.key[q], keys[columns]])
-            found = np.concatenate([self.found[q], np.ones(len(columns), bool)])
-            best = np.lexsort((key, ~found, -cosine))[: self.k]
-            self.cosine[q], self.key[q], self.found[q] = cosine[best], key[best], found[best]
+                within = block.asking[a:b] @ other.points[rows].T >= ((block.squares[a:b] - reach) / 2 - 1e-3).astype(np.float32)[:, None]
+                hits = np.flatnonzero(within)
+                if len(hits) > 0.1 * within.size:
+                    cosines = block.units[a:b] @ other.units[rows].T
+                    q, c = np.nonzero(cosines >= self.cosine[a:b].min(axis=1)[:, None])
+                    cosine = cosines[q, c]
+                else:
+                    q, c = np.divmod(hits, len(rows))
+                    cosine = np.einsum("ij,ij->i", block.units[a + q], other.units[rows[c]])
+                self._take(a + q, other.keys[rows[c]], cosine)
+
+    def _take(self, q: np.ndarray, key: np.ndarray, cosine: np.ndarray) -> None:
+        """Put verified pairs among the best of their queries."""
+        better = (cosine >= self.cosine[q].min(axis=1)) & (key != self.block.keys[q])
+        q, key, cosine = q[better], key[better], cosine[better]
+        if not len(q):
+            return
+        asked = np.unique(q)
+        whole = np.concatenate([np.repeat(asked, self.k), q])
+        cosine = np.concatenate([self.cosine[asked].ravel(), cosine])
+        key = np.concatenate([self.key[asked].ravel(), key])
+        found = np.concatenate([self.found[asked].ravel(), np.ones(len(q), bool)])
+        order = np.lexsort((key, ~found, -cosine, whole))
+        starts = np.searchsorted(whole[order], asked)
+        best = order[starts[:, None] + np.arange(self.k)]
+        self.cosine[asked], self.key[asked], self.found[asked] = cosine[best], key[best], found[best]
 
 
 def usable_vectors(df: DataFrame, vec_id: str, vec: str, dimensions: int) -> DataFrame:
@@ -175,8 +193,8 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dimensions: int) -> np.ndarray:
 
 
 def nearest_vectors(
-    df: DataFrame, vec_id: str = "vec_id", vec: str = "vec", k: int = 5, min_cosine: float = -1.0, dimensions: int = 64, projected: int = 8,
-    confidence: float = 0.99, cell_rows: int = 4096, leaf_rows: int = 64, sample_rows: int = 65_536, seed: int = 7,
+    df: DataFrame, vec_id: str = "vec_id", vec: str = "vec", k: int = 5, min_cosine: float = -1.0, dimensions: int = 64, projected: int = 16,
+    confidence: float = 0.99, cell_rows: int = 4096, leaf_rows: int = 256, sample_rows: int = 65_536, seed: int = 7,
 ) -> DataFrame:
     """(vec_id, neighbor_id, cosine, rank) of the k highest cosines of every usable vector, ties to the smaller id.
 
@@ -240,7 +258,7 @@ def nearest_vectors(
                 far = box_distances(low[own], high[own], low, high)
                 for other in np.argsort(far, kind="stable"):
                     leaf_far = box_distances(low[other], high[other], block.low, block.high)
-                    if other == own or (leaf_far > state.reach()).all():
+                    if other == own or (leaf_far > state.leaf_reach()).all():
                         continue
                     more = read(int(filled[other]), ["key", "unit"])
                     state.over(Block(more["key"].to_numpy(), _matrix(more["unit"], dimensions), matrix, leaf_rows))
