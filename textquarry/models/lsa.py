@@ -84,16 +84,15 @@ def decompose(gram: np.ndarray, components: int) -> tuple[np.ndarray, np.ndarray
 
 def fit(docs: DataFrame, dimensions: int = 50, max_features: int = 2000, doc_id: str = "doc_id", tokens: str = "tokens", unit: bool = True) -> Lsa:
     """components: the smaller of dimensions and min(documents, terms) - 1. unit scales documents to length 1; without
-    it coordinates are those of the SVD."""
-    docs = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(tokens).alias("tokens")), "tokens")
+    it coordinates are those of the SVD. Tokens are read several times: write or cache them before."""
     n = docs.count()
-    stats = vocabulary_ids(document_frequencies(docs), max_features, alphabetic=True)
+    stats = vocabulary_ids(document_frequencies(docs, tokens), max_features, alphabetic=True)
     vocabulary = idf(stats, n).select("term", "term_id", "idf")
     vocabulary = materialize(vocabulary, "vocabulary")
     features = vocabulary.count()
     if n < 2 or features < 2:
         raise ModelTrainingError("two documents and two terms are needed")
-    rows = sparse_rows(tfidf(term_frequencies(docs), vocabulary), vocabulary)
+    rows = sparse_rows(tfidf(term_frequencies(docs, doc_id, tokens), vocabulary), vocabulary)
     projection, values = decompose(gram_matrix(rows, features), min(dimensions, n - 1, features - 1))
     if not len(values):
         raise ModelTrainingError("no document has a known term")

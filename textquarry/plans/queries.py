@@ -16,6 +16,7 @@ from textquarry.functions.normalize import prepared_tokens, vocabulary
 from textquarry.models import cnn, lda, lsa, naive_bayes, word2vec
 from textquarry.operators import dedup, splits, terms
 from textquarry.search.index import build_index, query_status, search, with_excerpts
+from textquarry.session import materialize
 from textquarry.sources.readers import canonical_violations
 
 SPELLINGS = {"neautral": "neutral"}
@@ -31,8 +32,8 @@ def _clean(column: str):
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, tokens) of documents without stop words."""
-    return table(spark, sf_dir, "documents").select("doc_id", _clean("text").alias("tokens"))
+    """(doc_id, tokens) of documents without stop words, written once as several steps read them."""
+    return materialize(table(spark, sf_dir, "documents").select("doc_id", _clean("text").alias("tokens")), "tokens")
 
 
 def _query_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +59,7 @@ def token_counts(spark, sf_dir):
 
 
 def clean_token_counts(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.size("tokens").cast("long").alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(_clean("text")).cast("long").alias("n"))
 
 
 def folded_titles(spark, sf_dir):
@@ -306,7 +307,7 @@ def loaded_corpus(spark, sf_dir):
 
 
 def _prepared(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "source", "title", "text", prepared_tokens(F.col("text")).alias("tokens"))
+    return materialize(table(spark, sf_dir, "documents").select("doc_id", "source", "title", "text", prepared_tokens(F.col("text")).alias("tokens")), "prepared")
 
 
 def lsa_singular_values(spark, sf_dir):
