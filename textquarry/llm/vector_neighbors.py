@@ -249,9 +249,8 @@ def nearest_vectors(
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cell in batch.column(0).to_pylist():
-                own = int(np.flatnonzero(filled == cell)[0])
-                table = read(cell, ["key", "unit"])
+            for own in batch.column(0).to_pylist():
+                table = read(int(filled[own]), ["key", "unit"])
                 block = Block(table["key"].to_numpy(), _matrix(table["unit"], dimensions), matrix, leaf_rows)
                 state = Search(block, k, min_cosine, quantile)
                 state.over(block)
@@ -265,7 +264,7 @@ def nearest_vectors(
                 q, rank = np.nonzero(state.found)
                 yield pa.RecordBatch.from_arrays([pa.array(block.keys[q]), pa.array(state.key[q, rank]), pa.array(state.cosine[q, rank])], ["key", "other", "cosine"])
 
-    tasks = spark.createDataFrame([(int(c),) for c in filled], "cell long").repartition(max(1, len(filled)), "cell") if len(filled) else spark.createDataFrame([], "cell long")
+    tasks = spark.range(0, len(filled), 1, max(1, len(filled)))  # a task for each cell
     near = tasks.mapInArrow(search, "key long, other long, cosine double")
     ids = points.select("key", "ids")
     others = near.join(ids.withColumnsRenamed({"key": "other", "ids": "other_ids"}), "other").groupBy("key").agg(F.flatten(F.collect_list(F.transform("other_ids", lambda i: F.struct((-F.col("cosine")).alias("c"), i.alias("i"))))).alias("far"))
