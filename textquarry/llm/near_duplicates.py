@@ -1,12 +1,12 @@
-"""Problem 3: records that share most of their content, by a parity-sketch join.
-
-A record is its set of word shingles. Its sketch has a fixed number of cells; each shingle is hashed to one
-cell and XORed into it. A shingle that only one of two sets holds changes one cell, so the number of cells in
-which two sketches differ is at most the size of the sets' symmetric difference: two alike sets have many
-equal cells, and by the pigeonhole principle some of those hold shingles. The join key is a cell with its
-content, within a band of set sizes, as the number of cells follows the size. Of the candidates, those whose
-bit sketches (a bit flipped by each shingle) differ in more bits than alike sets of their sizes can differ in
-shingles are dropped; the rest are verified on the sets themselves.
+"""Problem 3: records that share most of their content, by a prefix-filter join.
+
+A record is its set of word shingles, in one order for all sets, rare shingles first. Two alike sets have a
+shingle in common among the first n - ceil(threshold * n) + 1 of each (n the set's size): if none were, one set
+would have too few left to reach the threshold. So each of these is a join key, and all pairs of sets that meet
+are candidates, without a cap; the places of the shingle in both sets bound what can still be common, which drops
+pairs that meet in a widely shared template only. Of the candidates, those whose bit sketches (a bit flipped by
+each shingle) differ in more bits than alike sets of their sizes can differ in shingles are dropped; the rest are
+verified on the sets themselves. No step loses a pair.
 """
 
 from __future__ import annotations
@@ -46,7 +46,8 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 def cell_keys(tokens: np.ndarray, threshold: float, first_cells: int = 64) -> np.ndarray:
-    """Join keys of one set: per band of sizes, each cell that holds something, with its content.
+    """Keys of one set that alike sets very likely share (the join itself takes `prefix`, which is sure): per band
+    of sizes, each cell that holds something, with its content.
 
     Band b takes sizes below first_cells * 4 * 2**b, and above the smallest size that can be alike to one
     beyond the band below. It has first_cells * 2**b cells, so a set of n shingles has between n / 4 and
@@ -126,40 +127,93 @@ def shingle_sets(df: DataFrame, record_id: str, title: str | None, text: str, wi
     return df.select(*columns).mapInArrow(sets, f"record_id {kind}, set_id long, size int, {', '.join(f'{c} long' for c in _SKETCH)}, tokens binary")
 
 
-def _keys(batches: Iterator[pa.RecordBatch], threshold: float, forwarded: int) -> Iterator[pa.RecordBatch]:
-    """(key, set_id, near): rows for the join; near is null, or a set of the same batch and key, if the key has
-    been forwarded often enough from this batch."""
-    for batch in batches:
-        each = [cell_keys(np.frombuffer(t.as_py(), np.uint32), threshold) for t in batch.column(1)]
-        keys = np.concatenate(each) if each else np.empty(0, np.uint64)
-        ids = np.repeat(batch.column(0).to_numpy(), [len(k) for k in each])
-        order = np.argsort(keys, kind="stable")
-        keys, ids = keys[order], ids[order]
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
-        rank = np.arange(len(keys)) - np.repeat(starts, np.diff(np.r_[starts, len(keys)]))
-        late = np.flatnonzero(rank >= forwarded)
-        near = ids[late - 1 - (rank[late] - 1) * (rank[late] % 2)]  # by turns the bucket's first set and the one before
-        early = np.flatnonzero(rank < forwarded)
-        early = early[np.argsort(order[early])]  # by set again, so that equal ids lie together and compress
-        columns = [_signed(np.r_[keys[early], keys[late]]), pa.array(np.r_[ids[early], ids[late]]), pa.array(np.r_[np.zeros(len(early), np.int64), near], mask=np.r_[np.ones(len(early), bool), np.zeros(len(late), bool)])]
-        yield pa.RecordBatch.from_arrays(columns, ["key", "set_id", "near"])
-
-
-def candidate_pairs(sets: DataFrame, threshold: float, forwarded: int = 8) -> DataFrame:
-    """(a, b) with a < b: distinct set_ids of (set_id, tokens) that have two filled cells in common.
-
-    A key with up to five sets gives all their pairs. In a larger one each set is paired with the key's first
-    set and the three before it: sets alike share a dozen keys or more, so all meet in small ones too, and
-    those of one large family connect through its first member. From one batch a key sends at most
-    `forwarded` sets over the shuffle; further ones are paired within the batch, so a hot key reaches a
-    reducer with a few rows of each batch.
+BUCKETS = 1 << 21
+COUNTED = 1 << 23  # shingles counted for the order, at most about
+BLOCK = 1024  # sets of one key that are compared in one place
+_PART = 1 << 16
+
+
+def _bucket(tokens: np.ndarray) -> np.ndarray:
+    return (mixed(tokens.astype(np.uint64) * _ODD[3]) >> np.uint64(40)).astype(np.int64) % BUCKETS
+
+
+def bucket_levels(sets: DataFrame) -> np.ndarray:
+    """How frequent the shingles of each of BUCKETS hash buckets are, as 4 * log2(1 + n) in a byte.
+
+    Any levels give a valid order, as all sets use the same; so a sample by set_id is counted where the sets hold
+    more than COUNTED shingles. The driver holds BUCKETS bytes.
     """
-    keyed = sets.select("set_id", "tokens").mapInArrow(lambda b: _keys(b, threshold, forwarded), "key long, set_id long, near long")
-    by_key = Window.partitionBy("key").orderBy("set_id")
-    others = [F.lag("set_id", i).over(by_key) for i in (1, 2, 3)] + [F.first("set_id").over(by_key), F.col("near")]
-    met = keyed.select("set_id", *[x.alias(f"o{i}") for i, x in enumerate(others)])
-    met = met.where("o0 is not null or o4 is not null").select("set_id", F.explode(F.array(*[f"o{i}" for i in range(5)])).alias("other"))
-    return met.where("other is not null and other <> set_id").select(F.least("set_id", "other").alias("a"), F.greatest("set_id", "other").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("met")).where("met > 1").select("a", "b")
+    every = -(-(sets.agg(F.sum("size").cast("long")).first()[0] or 0) // COUNTED) or 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(BUCKETS, np.int32)
+        for batch in batches:
+            n += np.bincount(_bucket(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32)), minlength=BUCKETS).astype(np.int32)
+        if n.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(BUCKETS // _PART), pa.int32()), pa.array([x.tobytes() for x in n.reshape(-1, _PART)], pa.binary())], ["part", "n"])
+
+    def total(table: pa.Table) -> pa.Table:
+        n = np.zeros(_PART, np.int64)
+        for x in table.column("n"):
+            n += np.frombuffer(x.as_py(), np.int32)
+        level = np.minimum(255, 4 * np.log2(1 + n * every)).astype(np.uint8)
+        return pa.table({"part": table.column("part")[:1], "level": pa.array([level.tobytes()], pa.binary())})
+
+    parts = sets.where(F.pmod("set_id", F.lit(every)) == 0).select("tokens").mapInArrow(count, "part int, n binary").groupBy("part").applyInArrow(total, "part int, level binary").collect()
+    out = np.zeros(BUCKETS, np.uint8)
+    for part, level in parts:
+        out[part * _PART : (part + 1) * _PART] = np.frombuffer(level, np.uint8)
+    return out
+
+
+def prefix(tokens: np.ndarray, levels: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles, rarest first, of which sets alike to this one hold at least one among their own, and their levels."""
+    level = levels[_bucket(tokens)]
+    order = np.lexsort((tokens, level))[: len(tokens) - -(-len(tokens) * threshold.numerator // threshold.denominator) + 1]
+    return tokens[order], level[order]
+
+
+def _keys(batches: Iterator[pa.RecordBatch], levels: np.ndarray, threshold: Fraction) -> Iterator[pa.RecordBatch]:
+    """(key, set_id, size, place, block): rows for the join. Of a shingle that about BLOCK sets or more hold, each
+    set belongs to one block, and there is a key for each pair of blocks; two sets meet in just one of them."""
+    for whole in batches:
+        for batch in (whole.slice(at, 2000) for at in range(0, whole.num_rows, 2000)):
+            ids = batch.column(0).to_numpy()
+            found = [prefix(np.frombuffer(t.as_py(), np.uint32), levels, threshold) for t in batch.column(1)]
+            lengths = np.array([len(t) for t, _ in found], np.int64)
+            if not lengths.sum():
+                continue
+            tokens, level = (np.concatenate(x) for x in zip(*found, strict=True))
+            row = np.repeat(np.arange(len(ids)), lengths)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            blocks = np.ceil(2 ** (level / 4) / BLOCK).astype(np.int64)
+            again = np.repeat(np.arange(len(row)), blocks)
+            other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            spread = mixed(ids.view(np.uint64)[row] * _ODD[2])
+            own = (spread % blocks.astype(np.uint64)).astype(np.int64)[again]
+            first, second = np.minimum(own, other).astype(np.uint64), np.maximum(own, other).astype(np.uint64)
+            key = mixed(tokens.astype(np.uint64)[again] * _ODD[0] + mixed(first * _ODD[1] + second * _ODD[4]))
+            block = np.where(own == other, -1, own)  # -1: the sets of one block with each other
+            sizes = batch.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([_signed(key), pa.array(ids[row][again]), pa.array(sizes[row][again], pa.int32()), pa.array(place[again], pa.int32()), pa.array(block, pa.int32())], ["key", "set_id", "size", "place", "block"])
+
+
+def candidate_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) with a < b: distinct set_ids of (set_id, size, tokens) among which all alike sets are.
+
+    Where two sets meet in the first shingle they share, no more can be common than the shingles from there on
+    in either; a pair has to pass this in one of its keys. Keys of very many sets are split into pairs of blocks,
+    so no task holds one alone.
+    """
+    exact = Fraction(str(threshold))
+    held = sets.sparkSession.sparkContext.broadcast(bucket_levels(sets))
+    keyed = sets.select("set_id", "tokens", "size").mapInArrow(lambda b: _keys(b, held.value, exact), "key long, set_id long, size int, place int, block int")
+    a, b = (keyed.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("set_id", "size", "place", "block")]) for x in "ab")
+    p, q = exact.numerator, exact.denominator
+    sizes = F.least("size_a", "size_b") * q >= F.greatest("size_a", "size_b") * p
+    common = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) * (p + q) >= (F.col("size_a") + F.col("size_b")) * p
+    met = a.join(b.hint("merge"), "key").where((F.col("set_id_a") < F.col("set_id_b")) & ((F.col("block_a") < 0) | (F.col("block_a") != F.col("block_b"))) & sizes & common)
+    return met.select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b")).distinct()
 
 
 def within_bound(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -205,9 +259,9 @@ def near_duplicates(df: DataFrame, record_id: str = "row_id", title: str | None
     Null ids are dropped, repeated rows are copies, an empty table gives empty results.
     """
     rows = materialize(shingle_sets(df.where(F.col(record_id).isNotNull()), record_id, title, text, width, min_words), "sets")
-    sets = rows.select("set_id", "tokens").dropDuplicates(["set_id"])
+    sets = materialize(rows.drop("record_id").dropDuplicates(["set_id"]), "distinct")
     pairs = materialize(candidate_pairs(sets, threshold), "candidates")
-    pairs = materialize(within_bound(pairs, rows.select("set_id", "size", *_SKETCH).distinct(), threshold), "possible")
+    pairs = materialize(within_bound(pairs, sets, threshold), "possible")
     links = materialize(verified_links(pairs, sets, threshold), "verified")
     components = connected_components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count(F.lit(1)).alias("links"))
