@@ -253,7 +253,8 @@ def verified_links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataF
 def near_duplicates(df: DataFrame, record_id: str = "row_id", title: str | None = "title", text: str = "text", width: int = 5, threshold: float = 0.8, min_words: int = 1) -> tuple[DataFrame, DataFrame]:
     """(classes, links). classes: (record_id, class_id, class_rows, links) for every row that counts; class_id is
     the smallest record_id of the rows alike to it directly or through others, links the number of other sets
-    its set is alike to. links: (a, b, similarity) between set_ids.
+    its set is alike to. links: (a, b, similarity) between set_ids, all pairs of alike sets, also within a large
+    family, where their number grows with its square.
 
     Rows with equal sets are one node, however many there are; joins back to rows spread hot sets and classes.
     Null ids are dropped, repeated rows are copies, an empty table gives empty results.
