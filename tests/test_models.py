@@ -212,3 +212,32 @@ def test_store(spark, tmp_path):
             store.load(spark, str(tmp_path / kind))
     with pytest.raises(InvalidInput):
         store.backend("bm25")
+
+
+def test_cnn_encodes_whole_texts(spark):
+    p = cnn.CnnParameters(dimensions=4, filters=4, max_length=8, batch=2)
+    model = cnn.Cnn(p, ["a", "b", "c"], cnn.initial_weights(p, 3))
+    texts = [["a"] * 8, ["a"] * 8 + ["b"] * 8, ["a"] * 8 + ["c"] * 3, ["x"] * 8 + ["b"] * 8, ["x"], None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, tokens array<string>")
+    got = {r["doc_id"]: r for r in cnn.transform(model, df, whole=True).collect()}
+    assert [got[i]["known_tokens"] for i in range(6)] == [8, 16, 11, 8, 0, 0]
+    v = [np.array(got[i]["vec"]) for i in range(6)]
+    mean = v[0] + v[3]
+    assert np.allclose(v[1], mean / np.linalg.norm(mean), atol=1e-6) and not np.allclose(v[0], v[2]) and not v[4].any() and not v[5].any()
+    prefix = {r["doc_id"]: r["vec"] for r in cnn.transform(model, df).collect()}
+    assert np.allclose(prefix[0], v[0]) and np.allclose(prefix[1], v[0])
+
+
+def test_registered_models_use_the_defaults(monkeypatch):
+    from inspect import signature
+
+    from textquarry.plans import queries
+
+    monkeypatch.setattr(queries, "_prepared", lambda spark, sf_dir: "rows")
+    for module, query in ((word2vec, queries.word_vector_documents), (cnn, queries.cnn_documents)):
+        own, seen = signature(module.fit), []
+        monkeypatch.setattr(module, "fit", lambda *a, own=own, seen=seen, **k: seen.append(own.bind(*a, **k).arguments))
+        monkeypatch.setattr(module, "transform", lambda *a, seen=seen, **k: seen.append(k))
+        query(None, "")
+        assert set(seen[0]) <= {"docs", "partitions"}
+    assert seen[1] == {"whole": True}

@@ -61,6 +61,10 @@ class Cnn:
         table = self.__dict__.setdefault("_table", {w: i for i, w in enumerate(self.words, 2)})
         return np.array([table.get(t, UNKNOWN) for t in tokens[: self.parameters.max_length]], np.int64)
 
+    def windows(self, tokens: Sequence[str]) -> list[np.ndarray]:
+        """The ids of all tokens, max_length at a time."""
+        return [self.ids(tokens[at : at + self.parameters.max_length]) for at in range(0, len(tokens), self.parameters.max_length)]
+
 
 def known(ids) -> int:
     return int((np.asarray(ids) >= 2).sum())
@@ -247,8 +251,9 @@ def best_epoch(model: Cnn) -> int | None:
     return min(rated, key=lambda r: (r["validation_loss"], r["epoch"]))["epoch"] if rated else None
 
 
-def transform(model: Cnn, docs: DataFrame, doc_id: str = "doc_id", tokens: str = "tokens") -> DataFrame:
-    """(doc_id, vec, known_tokens) of the first max_length tokens, unit length; zeros where none of them is known."""
+def transform(model: Cnn, docs: DataFrame, doc_id: str = "doc_id", tokens: str = "tokens", whole: bool = False) -> DataFrame:
+    """(doc_id, vec, known_tokens) of the first max_length tokens, or of the whole text, unit length; zeros where none
+    of them is known. A whole text is the mean of its windows of max_length tokens, weighted by their known ones."""
     kind = dict(docs.dtypes)[doc_id]
     state = (asdict(model.parameters), model.words, {k: x.astype(np.float32) for k, x in model.weights.items()})
     held = docs.sparkSession.sparkContext.broadcast(state)
@@ -256,17 +261,21 @@ def transform(model: Cnn, docs: DataFrame, doc_id: str = "doc_id", tokens: str =
     def encode(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, words, weights = held.value
         model = Cnn(CnnParameters(**p), words, weights)
-        for whole in found:
-            for batch in (whole.slice(at, 256) for at in range(0, whole.num_rows, 256)):
-                rows = [model.ids(t or []) for t in batch.column(1).to_pylist()]
-                counts = [known(r) for r in rows]
-                vectors = np.zeros((len(rows), p["dimensions"]))
-                some = [i for i, n in enumerate(counts) if n]
-                if some:
-                    ids, mask = padded([rows[i] for i in some])
-                    v = forward(weights, ids, mask, p["width"])[0].astype(np.float64)
-                    length = np.linalg.norm(v, axis=1, keepdims=True)
-                    vectors[some] = np.where(length > 1e-12, v / np.maximum(length, 1e-300), 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(vectors), pa.list_(pa.float64())), pa.array(counts, pa.int32())], ["doc_id", "vec", "known_tokens"])
+        for all_rows in found:
+            for batch in (all_rows.slice(at, 256) for at in range(0, all_rows.num_rows, 256)):
+                texts = [model.windows(t or []) if whole else [model.ids(t or [])] for t in batch.column(1).to_pylist()]
+                some = [(i, x, known(x)) for i, windows in enumerate(texts) for x in windows if known(x)]
+                counts, vectors = np.zeros(len(texts), np.int64), np.zeros((len(texts), p["dimensions"]))
+                for at in range(0, len(some), 256):
+                    owners, rows, weight = zip(*some[at : at + 256], strict=True)
+                    v = _unit(forward(weights, *padded(rows), p["width"])[0].astype(np.float64))
+                    np.add.at(vectors, list(owners), v * np.array(weight)[:, None])
+                    np.add.at(counts, list(owners), weight)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(_unit(vectors)), pa.list_(pa.float64())), pa.array(counts, pa.int32())], ["doc_id", "vec", "known_tokens"])
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(tokens).alias("tokens")).mapInArrow(encode, f"doc_id {kind}, vec array<double>, known_tokens int")
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.where(length > 1e-12, v / np.maximum(length, 1e-300), 0)

@@ -336,13 +336,12 @@ def discriminants(spark, sf_dir):
 
 def word_vector_documents(spark, sf_dir):
     rows = _prepared(spark, sf_dir)
-    return word2vec.transform(word2vec.fit(rows, 20, 1, partitions=8), rows)
+    return word2vec.transform(word2vec.fit(rows, partitions=8), rows)
 
 
 def cnn_documents(spark, sf_dir):
     rows = _prepared(spark, sf_dir)
-    model = cnn.fit(rows, cnn.CnnParameters(dimensions=16, filters=16, epochs=1, max_features=5000, max_length=64), documents=500)
-    return cnn.transform(model, rows)
+    return cnn.transform(cnn.fit(rows), rows, whole=True)
 
 
 _HELPERS = {"table"}
