@@ -128,7 +128,9 @@ def leaked_items(
     """(query_id, doc_id, windows, similarity, shared_run): items and documents with a window alike.
 
     windows counts the document's windows alike to one of the item, similarity is the highest, shared_run the
-    longest run of exactly equal successive words (0 if below width). Items shorter than width have no window;
+    longest run of exactly equal successive words (0 if below width). Exactly equal windows are all found; of alike
+    but unequal ones only those within the radius, which are few, so windows, similarity and rows with shared_run
+    0 are incomplete for them. Items shorter than width have no window;
     null texts have no words; repeated items and documents each count. The items are a stated query set: they
     are taken in blocks of items_at_once, which bounds what the driver reads and broadcasts, and each block
     meets all documents in one narrow pass without a shuffle.
