@@ -20,3 +20,9 @@ def test_names():
 def test_flagship(spark):
     rows = entry.entry(spark)
     assert rows.columns == ["query_id", "doc_id", "cosine", "rank"] and rows.count() > 0
+
+
+def test_stemmed_vocabulary_reads_texts(spark, tmp_path):
+    rows = [(1, "Дом", "Река"), (2, None, "Река"), (3, "Дом", None)]
+    spark.createDataFrame(rows, "row_id long, title string, text string").write.parquet(f"{tmp_path}/lenta.parquet")
+    assert sorted(r["n"] for r in plan_queries.stemmed_vocabulary(spark, str(tmp_path)).collect()) == [2, 2]

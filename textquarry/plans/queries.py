@@ -297,7 +297,7 @@ def embedding_silhouette(spark, sf_dir):
 
 
 def stemmed_vocabulary(spark, sf_dir):
-    rows = vocabulary(table(spark, sf_dir, "lenta").select("row_id", "title"), "title")
+    rows = vocabulary(table(spark, sf_dir, "lenta").select("row_id", F.concat_ws("\n", "title", "text").alias("content")), "content")
     return rows.select("row_id", F.explode("normalized").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
