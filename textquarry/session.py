@@ -5,11 +5,15 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textquarry.errors import InvalidInput
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[tuple[SparkSession, str]] = []
+_paths: dict[int, str] = {}  # of tables written, by their identity
 
 
 def build_session(name: str = "textquarry", master: str | None = None, **conf: str) -> SparkSession:
@@ -28,12 +32,17 @@ def build_session(name: str = "textquarry", master: str | None = None, **conf: s
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Only where that is unset (a single machine, as in
-    tests) a temporary folder is made and set."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a master on this machine alone (as in tests)
+    gets a temporary folder, which is set; on any other it is an error, as no executor would see such a folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else "file://" + tempfile.mkdtemp(prefix="textquarry-")
+        folder = current.get() if current.isDefined() else None
+        if not folder:
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
+                raise InvalidInput(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+            folder = "file://" + tempfile.mkdtemp(prefix="textquarry-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
@@ -58,14 +67,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[id(table)] = path
+    weakref.finalize(table, _paths.pop, id(table), None)
+    return table
+
+
+def drop_table(table: DataFrame) -> None:
+    """Remove the files of a table that `materialize` gave, once nothing reads it any more."""
+    path = _paths.pop(id(table), None)
+    if path:
+        _written[:] = [w for w in _written if w[1] != path]
+        _remove(table.sparkSession, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def _remove_written() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _remove(spark, path)
         except Exception:  # the JVM may be gone; the folder belongs to the cluster
             return
