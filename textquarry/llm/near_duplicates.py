@@ -1,38 +1,28 @@
-"""Problem 3: records that share most of their content, by a prefix-filter join.
+"""Problem 3: records that share most of their content, by a parity-sketch join.
 
-A record is its set of word shingles, in one order for all sets, rare shingles first. Two alike sets have a
-shingle in common among the first n - ceil(threshold * n) + 1 of each (n the set's size): if none were, one set
-would have too few left to reach the threshold. So each of these is a join key, and all pairs of sets that meet
-are candidates, without a cap; the places of the shingle in both sets bound what can still be common, which drops
-pairs that meet in a widely shared template only. Of the candidates, those whose bit sketches (a bit flipped by
-each shingle) differ in more bits than alike sets of their sizes can differ in shingles are dropped; the rest are
-verified on the sets themselves. No step loses a pair.
+A record is its set of word shingles. Alike sets meet in a cell of their parity sketches (`parity_join`: a
+pigeonhole join in bands of sizes that loses no pair); those whose bit sketches differ in more bits than alike sets
+of their sizes can differ in shingles are dropped; the rest are verified on the sets themselves, by all 64 bits of
+each shingle's hash. Links make classes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.functions.words import words
 from textquarry.llm.leakage import hashed
+from textquarry.llm.parity_join import ODD, SKETCH, SKETCH_WORDS, Bands, bit_sketch, candidate_pairs, filled_cells, mixed, set_hash, signed, verified_links, within_bound
 from textquarry.operators.components import connected_components
 from textquarry.operators.skew import lookup_join
-from textquarry.session import materialize
+from textquarry.session import drop_table, materialize
 
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit."""
-    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
+BAND_FACTOR, CELLS = 1024, 1024  # wide bands, so that few sets are guests, and so many cells that few hold two shingles
 
 
 def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -41,66 +31,16 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     n = len(hashes) - width + 1
     total = np.zeros(max(0, n), np.uint64)
     for i in range(width if n > 0 else 0):
-        total = mixed(total * _ODD[0] + hashes[i : i + n] * _ODD[1 + i % 4])
+        total = mixed(total * ODD[0] + hashes[i : i + n] * ODD[1 + i % 4])
     return np.unique(total)
 
 
-def cell_keys(tokens: np.ndarray, threshold: float, first_cells: int = 64) -> np.ndarray:
-    """Keys of one set that alike sets very likely share (the join itself takes `prefix`, which is sure): per band
-    of sizes, each cell that holds something, with its content.
+def shingle_sets(df: DataFrame, record_id: str, title: str | None, text: str, width: int, min_words: int, bands: Bands) -> DataFrame:
+    """(record_id, set_id, size, filled, s0.., elements): the shingle set of each row whose text has min_words words
+    or more.
 
-    Band b takes sizes below first_cells * 4 * 2**b, and above the smallest size that can be alike to one
-    beyond the band below. It has first_cells * 2**b cells, so a set of n shingles has between n / 4 and
-    n cells in some band it shares with any set alike. Sets below first_cells / 2 shingles also give each
-    shingle as a key, as cells are few there.
-    """
-    n, out, band = len(tokens), [], 0
-    if not n:
-        return np.empty(0, np.uint64)
-    spread = mixed(tokens.astype(np.uint64) * _ODD[2])
-    while True:
-        cells, most = first_cells << band, first_cells * 4 << band
-        least = 0 if band == 0 else (most // 2) * threshold
-        if n < least:
-            break
-        if n < most:
-            cell = (spread >> np.uint64(32)) % np.uint64(cells)
-            order = np.argsort(cell, kind="stable")
-            ordered = cell[order]
-            starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-            content = np.bitwise_xor.reduceat(mixed(spread[order]), starts)
-            out.append(mixed(content + ordered[starts] * _ODD[3] + np.array([band + 1], np.uint64) * _ODD[4]))
-        band += 1
-    if n < first_cells // 2:
-        out.append(mixed(spread ^ _ODD[1]))
-    return np.concatenate(out)
-
-
-def set_hash(x: np.ndarray) -> np.ndarray:
-    """One number (in an array) for a set of numbers, whatever their order."""
-    return np.bitwise_xor.reduce(mixed(x * _ODD[4]), keepdims=True) + mixed(x).sum(keepdims=True, dtype=np.uint64)
-
-
-SKETCH_WORDS = 8
-_SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
-
-
-def bit_sketch(tokens: np.ndarray) -> np.ndarray:
-    """64 * SKETCH_WORDS bits, each the parity of the shingles hashed to it: a shingle of only one of two sets
-    flips one bit, so two sketches differ in at most as many bits as the sets in shingles."""
-    bits = np.bincount((mixed(tokens.astype(np.uint64) * _ODD[0]) >> np.uint64(40)).astype(np.int64) % (64 * SKETCH_WORDS), minlength=64 * SKETCH_WORDS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
-
-
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.astype(np.uint64).view(np.int64))
-
-
-def shingle_sets(df: DataFrame, record_id: str, title: str | None, text: str, width: int, min_words: int) -> DataFrame:
-    """(record_id, set_id, size, s0.., tokens): the shingle set of each row whose text has min_words words or more.
-
-    tokens are the upper halves of the shingles' 64-bit hashes; set_id, made of all their bits, is the same for
-    equal sets. The content is title, line break, text; a null title is empty, a null text has no words.
+    elements are the shingles' 64-bit hashes; set_id, made of all of them, is the same for equal sets. The content
+    is title, line break, text; a null title is empty, a null text has no words.
     """
     kind = dict(df.dtypes)[record_id]
     columns = [F.col(record_id).alias("record_id"), (F.col(title) if title else F.lit("")).cast("string").alias("title"), F.col(text).cast("string").alias("text")]
@@ -108,146 +48,20 @@ def shingle_sets(df: DataFrame, record_id: str, title: str | None, text: str, wi
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in (whole.slice(at, 2000) for at in range(0, whole.num_rows, 2000)):
-                kept, ids, tokens, sketches = [], [], [], [np.empty((0, SKETCH_WORDS), np.int64)]
+                kept, found = [], []
                 for i, (head, body) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
                     own = words(body.as_py())
-                    if len(own) < max(1, min_words):
-                        continue
-                    s = shingles(hashed(words(head.as_py()) + own), width)
-                    kept.append(i)
-                    ids.append(set_hash(s)[0])
-                    short = (s >> np.uint64(32)).astype(np.uint32)
-                    tokens.append(short.tobytes())
-                    sketches.append(bit_sketch(short)[None, :])
-                sketch = np.concatenate(sketches)
-                arrays = [batch.column(0).take(pa.array(kept, pa.int64())), _signed(np.array(ids, np.uint64)), pa.array([len(t) // 4 for t in tokens], pa.int32())]
-                yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(SKETCH_WORDS)], pa.array(tokens, pa.binary())], names)
-
-    names = ["record_id", "set_id", "size", *_SKETCH, "tokens"]
-    return df.select(*columns).mapInArrow(sets, f"record_id {kind}, set_id long, size int, {', '.join(f'{c} long' for c in _SKETCH)}, tokens binary")
-
+                    if len(own) >= max(1, min_words):
+                        kept.append(i)
+                        found.append(shingles(hashed(words(head.as_py()) + own), width))
+                ids = np.array([set_hash(s)[0] for s in found], np.uint64)
+                sketch = np.array([bit_sketch(s) for s in found], np.int64).reshape(-1, SKETCH_WORDS)
+                numbers = [signed(ids), pa.array([len(s) for s in found], pa.int32()), pa.array(filled_cells(found, bands), pa.int32())]
+                arrays = [batch.column(0).take(pa.array(kept, pa.int64())), *numbers, *[pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(SKETCH_WORDS)]]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array([s.tobytes() for s in found], pa.binary())], names)
 
-BUCKETS = 1 << 21
-COUNTED = 1 << 23  # shingles counted for the order, at most about
-BLOCK = 1024  # sets of one key that are compared in one place
-_PART = 1 << 16
-
-
-def _bucket(tokens: np.ndarray) -> np.ndarray:
-    return (mixed(tokens.astype(np.uint64) * _ODD[3]) >> np.uint64(40)).astype(np.int64) % BUCKETS
-
-
-def bucket_levels(sets: DataFrame) -> np.ndarray:
-    """How frequent the shingles of each of BUCKETS hash buckets are, as 4 * log2(1 + n) in a byte.
-
-    Any levels give a valid order, as all sets use the same; so a sample by set_id is counted where the sets hold
-    more than COUNTED shingles. The driver holds BUCKETS bytes.
-    """
-    every = -(-(sets.agg(F.sum("size").cast("long")).first()[0] or 0) // COUNTED) or 1
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(BUCKETS, np.int32)
-        for batch in batches:
-            n += np.bincount(_bucket(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32)), minlength=BUCKETS).astype(np.int32)
-        if n.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(BUCKETS // _PART), pa.int32()), pa.array([x.tobytes() for x in n.reshape(-1, _PART)], pa.binary())], ["part", "n"])
-
-    def total(table: pa.Table) -> pa.Table:
-        n = np.zeros(_PART, np.int64)
-        for x in table.column("n"):
-            n += np.frombuffer(x.as_py(), np.int32)
-        level = np.minimum(255, 4 * np.log2(1 + n * every)).astype(np.uint8)
-        return pa.table({"part": table.column("part")[:1], "level": pa.array([level.tobytes()], pa.binary())})
-
-    parts = sets.where(F.pmod("set_id", F.lit(every)) == 0).select("tokens").mapInArrow(count, "part int, n binary").groupBy("part").applyInArrow(total, "part int, level binary").collect()
-    out = np.zeros(BUCKETS, np.uint8)
-    for part, level in parts:
-        out[part * _PART : (part + 1) * _PART] = np.frombuffer(level, np.uint8)
-    return out
-
-
-def prefix(tokens: np.ndarray, levels: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles, rarest first, of which sets alike to this one hold at least one among their own, and their levels."""
-    level = levels[_bucket(tokens)]
-    order = np.lexsort((tokens, level))[: len(tokens) - -(-len(tokens) * threshold.numerator // threshold.denominator) + 1]
-    return tokens[order], level[order]
-
-
-def _keys(batches: Iterator[pa.RecordBatch], levels: np.ndarray, threshold: Fraction) -> Iterator[pa.RecordBatch]:
-    """(key, set_id, size, place, block): rows for the join. Of a shingle that about BLOCK sets or more hold, each
-    set belongs to one block, and there is a key for each pair of blocks; two sets meet in just one of them."""
-    for whole in batches:
-        for batch in (whole.slice(at, 2000) for at in range(0, whole.num_rows, 2000)):
-            ids = batch.column(0).to_numpy()
-            found = [prefix(np.frombuffer(t.as_py(), np.uint32), levels, threshold) for t in batch.column(1)]
-            lengths = np.array([len(t) for t, _ in found], np.int64)
-            if not lengths.sum():
-                continue
-            tokens, level = (np.concatenate(x) for x in zip(*found, strict=True))
-            row = np.repeat(np.arange(len(ids)), lengths)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            blocks = np.ceil(2 ** (level / 4) / BLOCK).astype(np.int64)
-            again = np.repeat(np.arange(len(row)), blocks)
-            other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            spread = mixed(ids.view(np.uint64)[row] * _ODD[2])
-            own = (spread % blocks.astype(np.uint64)).astype(np.int64)[again]
-            first, second = np.minimum(own, other).astype(np.uint64), np.maximum(own, other).astype(np.uint64)
-            key = mixed(tokens.astype(np.uint64)[again] * _ODD[0] + mixed(first * _ODD[1] + second * _ODD[4]))
-            block = np.where(own == other, -1, own)  # -1: the sets of one block with each other
-            sizes = batch.column(2).to_numpy()
-            yield pa.RecordBatch.from_arrays([_signed(key), pa.array(ids[row][again]), pa.array(sizes[row][again], pa.int32()), pa.array(place[again], pa.int32()), pa.array(block, pa.int32())], ["key", "set_id", "size", "place", "block"])
-
-
-def candidate_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) with a < b: distinct set_ids of (set_id, size, tokens) among which all alike sets are.
-
-    Where two sets meet in the first shingle they share, no more can be common than the shingles from there on
-    in either; a pair has to pass this in one of its keys. Keys of very many sets are split into pairs of blocks,
-    so no task holds one alone.
-    """
-    exact = Fraction(str(threshold))
-    held = sets.sparkSession.sparkContext.broadcast(bucket_levels(sets))
-    keyed = sets.select("set_id", "tokens", "size").mapInArrow(lambda b: _keys(b, held.value, exact), "key long, set_id long, size int, place int, block int")
-    a, b = (keyed.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("set_id", "size", "place", "block")]) for x in "ab")
-    p, q = exact.numerator, exact.denominator
-    sizes = F.least("size_a", "size_b") * q >= F.greatest("size_a", "size_b") * p
-    common = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) * (p + q) >= (F.col("size_a") + F.col("size_b")) * p
-    met = a.join(b.hint("merge"), "key").where((F.col("set_id_a") < F.col("set_id_b")) & ((F.col("block_a") < 0) | (F.col("block_a") != F.col("block_b"))) & sizes & common)
-    return met.select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b")).distinct()
-
-
-def within_bound(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose sizes and bit sketches leave it possible that they are alike; no such pair is lost."""
-    sides = [sets.select(F.col("set_id").alias(x), F.col("size").alias(f"n_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in _SKETCH]) for x in "ab"]
-    differing = sum(F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _SKETCH)
-    most = (F.col("n_a") + F.col("n_b")) * F.lit((1 - threshold) / (1 + threshold)) + 1e-6
-    sizes = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold - 1e-6
-    return pairs.join(sides[0], "a").join(sides[1], "b").where(sizes & (differing <= most)).select("a", "b")
-
-
-def verified_links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b, similarity) whose sets have at least the threshold of their union in common."""
-    exact = Fraction(str(threshold))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            similarity = np.zeros(batch.num_rows)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
-                if min(len(x), len(y)) * exact.denominator < max(len(x), len(y)) * exact.numerator:
-                    continue
-                joined = np.concatenate([x, y])
-                joined.sort()
-                common = int((joined[1:] == joined[:-1]).sum())
-                union = len(x) + len(y) - common
-                if common * exact.denominator >= union * exact.numerator:
-                    similarity[i] = common / union
-            kept = pa.array(np.flatnonzero(similarity))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept), pa.array(similarity[similarity > 0])], ["a", "b", "similarity"])
-
-    one = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("x")), "a")
-    both = one.join(sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long, similarity double")
+    names = ["record_id", "set_id", "size", "filled", *SKETCH, "elements"]
+    return df.select(*columns).mapInArrow(sets, f"record_id {kind}, set_id long, size int, filled int, {', '.join(f'{c} long' for c in SKETCH)}, elements binary")
 
 
 def near_duplicates(df: DataFrame, record_id: str = "row_id", title: str | None = "title", text: str = "text", width: int = 5, threshold: float = 0.8, min_words: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -256,14 +70,20 @@ def near_duplicates(df: DataFrame, record_id: str = "row_id", title: str | None
     its set is alike to. links: (a, b, similarity) between set_ids, all pairs of alike sets, also within a large
     family, where their number grows with its square.
 
-    Rows with equal sets are one node, however many there are; joins back to rows spread hot sets and classes.
-    Null ids are dropped, repeated rows are copies, an empty table gives empty results.
+    Rows with equal sets (named by 64 bits) are one node, however many there are; joins back to rows spread hot
+    sets and classes. Null ids are dropped, repeated rows are copies, an empty table gives empty results. The
+    threshold has to be above a third.
     """
-    rows = materialize(shingle_sets(df.where(F.col(record_id).isNotNull()), record_id, title, text, width, min_words), "sets")
-    sets = materialize(rows.drop("record_id").dropDuplicates(["set_id"]), "distinct")
-    pairs = materialize(candidate_pairs(sets, threshold), "candidates")
-    pairs = materialize(within_bound(pairs, sets, threshold), "possible")
+    bands = Bands(threshold, BAND_FACTOR, CELLS)
+    whole = materialize(shingle_sets(df.where(F.col(record_id).isNotNull()), record_id, title, text, width, min_words, bands), "sets")
+    sets = materialize(whole.drop("record_id").dropDuplicates(["set_id"]), "distinct")
+    rows = materialize(whole.select("record_id", "set_id"), "rows")
+    drop_table(whole)
+    found = materialize(candidate_pairs(sets.withColumn("side", F.lit(3)), bands), "candidates")
+    pairs = materialize(within_bound(found, sets, threshold), "possible")
     links = materialize(verified_links(pairs, sets, threshold), "verified")
+    for table in (found, pairs, sets):
+        drop_table(table)
     components = connected_components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count(F.lit(1)).alias("links"))
     nodes = rows.groupBy("set_id").agg(F.min("record_id").alias("first"), F.count(F.lit(1)).alias("copies"))
@@ -271,12 +91,17 @@ def near_duplicates(df: DataFrame, record_id: str = "row_id", title: str | None
     nodes = nodes.select("set_id", "first", "copies", F.coalesce("component", "set_id").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
     classes = nodes.groupBy("component").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_rows"), F.count(F.lit(1)).alias("class_sets"))
     of_set = lookup_join(nodes.select("set_id", "copies", "component", "links"), classes, "component", "class_sets", "set_id").drop("component")
-    found = lookup_join(rows.select("record_id", "set_id"), of_set, "set_id", "copies", "record_id")
-    return found.select("record_id", "class_id", "class_rows", "links"), links
-
-
-def pairs_within_classes(classes: DataFrame) -> DataFrame:
-    """(row_a, row_b) with row_a < row_b for each pair of rows in one class; the output itself is quadratic."""
-    repeated = classes.where("class_rows > 1")
-    a, b = repeated.select("class_id", F.col("record_id").alias("row_a")), repeated.select("class_id", F.col("record_id").alias("row_b"))
-    return a.join(b, "class_id").where("row_a < row_b").select("row_a", "row_b")
+    of_row = lookup_join(rows, of_set, "set_id", "copies", "record_id")
+    return of_row.select("record_id", "class_id", "class_rows", "links"), links
+
+
+def pairs_within_classes(classes: DataFrame, block: int = 2048) -> DataFrame:
+    """(row_a, row_b) with row_a < row_b for each pair of rows in one class; the output itself is quadratic. The
+    rows of a large class are cut into blocks, and each pair of blocks is joined apart."""
+    repeated = classes.where("class_rows > 1").withColumn("_blocks", F.ceil(F.col("class_rows") / block))
+    own = repeated.withColumn("_own", F.pmod(F.xxhash64("record_id"), "_blocks"))
+    each = own.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    key = [F.col("class_id"), F.least("_own", "_other").alias("_low"), F.greatest("_own", "_other").alias("_high")]
+    a, b = each.select(*key, F.col("record_id").alias("row_a"), F.col("_own").alias("_a")), each.select(*key, F.col("record_id").alias("row_b"), F.col("_own").alias("_b"))
+    met = a.join(b, ["class_id", "_low", "_high"]).where((F.col("row_a") < F.col("row_b")) & ((F.col("_low") == F.col("_high")) | (F.col("_a") != F.col("_b"))))
+    return met.select("row_a", "row_b")
