@@ -1,4 +1,5 @@
 import random
+from itertools import groupby
 
 import numpy as np
 import pytest
@@ -20,8 +21,11 @@ def test_pieces_and_segments_encode_as_the_tokenizer(text, size):
     assert np.frombuffer(CODER.ids(text), np.int32).tolist() == plain(text)
     parts = list(segments(text, size))
     assert "".join(p for _, p in parts) == text
-    if all(n == 0 for n, _ in parts):
-        assert [i for _, p in parts for i in plain(p)] == plain(text)
+    got = []
+    for n, own in groupby(parts, key=lambda p: p[0]):
+        stretches = [p for _, p in own]
+        got += CODER.encode("".join(stretches).encode()) if n else [i for p in stretches for i in plain(p)]
+    assert got == plain(text)
 
 
 def test_tree_concatenation_is_exact():
@@ -43,6 +47,21 @@ def test_corpus(spark):
     assert {r["doc_id"]: r["tokens"] for r in token_counts(df).collect()} == {i: len(plain(t)) if t else 0 for i, t in enumerate(texts)}
 
 
+def test_white_space_around_long_pieces(spark):
+    """Every kind of white space before and after unsplit pieces of texts that are cut into segments."""
+    rng = random.Random(7)
+    white = ["\n", "\n\n", "\t", " ", "  ", " \n", "\n \n", "\r\n", "\u2003", "\u00a0 ", "\x1f", "\x1f\x1f ", "\x85", "\n" * 150, " " * 151]
+    texts = ["a\n\n" + "x" * 30000, "w " * 15000 + "\n\n" + "x" * 9000 + " e"]
+    for w in white:
+        for v in white:
+            blob = rng.choice("xыz") * rng.randrange(90, 400)
+            texts += [f"ab{w}{blob}{v}cd", f"{w}{blob}{v}", "слово " * 40 + w + blob + v + blob + w + "конец " * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for cut, size in ((100, 60), (20_000, 8_000)):
+        got = {r["doc_id"]: list(r["ids"]) for r in encode_corpus(df, long_chars=cut, segment_chars=size).collect()}
+        assert got == {i: plain(t) for i, t in enumerate(texts)}
+
+
 def test_equal_ids_and_empty_table(spark):
     rows = [(1, "слово " * 500), (1, "другое " * 500), (None, "x " * 900), (None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")

@@ -37,6 +37,11 @@ def piece_pattern() -> re.Pattern:
     return re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?{run_of('L')}| ?{run_of('N')}| ?{rest}|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 
+@lru_cache(maxsize=1)
+def _white() -> re.Pattern:
+    return re.compile(f"[{WHITE}]")
+
+
 def tree_encode(data: bytes, encode: Callable[[bytes], list[int]], token: Callable[[int], bytes], leaf: int = 512) -> list[int]:
     """Ids of one unsplit piece, from its halves."""
     if len(data) <= leaf:
@@ -100,20 +105,27 @@ def piece_ids(ranks: bytes) -> PieceIds:
 
 def segments(text: str, size: int) -> Iterator[tuple[int, str]]:
     """(piece, part) of a long text in order: piece is 0 for whole text to be cut by the pattern, else the
-    number of an unsplit piece of which the part is one stretch. Whole text ends before white space or
-    between pieces, never after white space, so it encodes alone as it does in place."""
-    start, number = 0, 0
+    number of an unsplit piece of which the part is one stretch.
+
+    The pattern looks ahead only past white space, so whole text that ends with another character is cut alone as it
+    is in place; white space before a long piece comes out in the pieces found in place."""
+    start, number, solid, white = 0, 0, 0, []  # solid: where the last piece ends that is no white space; white: those since
     for m in piece_pattern().finditer(text):
         if m.end() - m.start() > size:
-            if start < m.start():
-                yield 0, text[start : m.start()]
-            number += 1
-            for at in range(m.start(), m.end(), size):
-                yield number, text[at : min(at + size, m.end())]
-            start = m.end()
-        elif m.end() - start >= size and not text[m.end() - 1].isspace():
-            yield 0, text[start : m.end()]
-            start = m.end()
+            if start < solid:
+                yield 0, text[start:solid]
+            for piece in [*white, m]:
+                number += 1
+                for at in range(piece.start(), piece.end(), size):
+                    yield number, text[at : min(at + size, piece.end())]
+            start, solid, white = m.end(), m.end(), []
+        elif _white().match(text, m.end() - 1):
+            white.append(m)
+        else:
+            solid, white = m.end(), []
+            if solid - start >= size:
+                yield 0, text[start:solid]
+                start = solid
     if start < len(text):
         yield 0, text[start:]
 
