@@ -14,7 +14,7 @@ from textquarry.llm.leakage import leaked_items
 from textquarry.llm.mixing import mix_sources
 from textquarry.llm.near_duplicates import near_duplicates, pairs_within_classes
 from textquarry.llm.reading_level import reading_levels
-from textquarry.llm.split_overlap import overlap_report, overlapping_rows, split_overlaps
+from textquarry.llm.split_overlap import overlap_report, overlapping_rows, passage_coverage, split_overlaps
 from textquarry.llm.target_sample import draw_sample, plan_sample
 from textquarry.llm.term_frequency import term_frequencies
 from textquarry.llm.vector_neighbors import nearest_vectors, similar_pairs
@@ -54,7 +54,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap_report(*split_overlaps(_table(spark, sf_dir, "canonical_corpus")))
+    links, members = split_overlaps(_table(spark, sf_dir, "canonical_corpus"))
+    return overlap_report(links, members, passage_coverage(members))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

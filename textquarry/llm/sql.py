@@ -46,6 +46,15 @@ _SPLITS = f"""plain AS (SELECT id, {_label('split')} AS split, list_distinct({_w
  tokens AS (SELECT id, split = 'train' AS train, len(s) AS n, unnest(s) AS t FROM usable),
  common AS (SELECT a.id AS a, b.id AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS k FROM tokens a JOIN tokens b ON a.t = b.t WHERE a.train AND NOT b.train GROUP BY 1, 2)"""
 
+_COVERAGE = f"""rows_ AS (SELECT id, {_label('split')} AS split, source, {_words('text')} AS w FROM canonical_corpus),
+ counted AS (SELECT * FROM rows_ WHERE split IN ('train', 'validation', 'test') AND len(list_distinct(w)) >= 8),
+ runs AS (SELECT id, split, unnest(range(1, len(w) - 3)) AS i, w FROM counted),
+ grams AS (SELECT id, split, i, array_to_string(w[i:i + 4], ' ') AS g FROM runs),
+ known AS (SELECT DISTINCT g FROM grams WHERE split = 'train'),
+ places AS (SELECT DISTINCT id, unnest(range(i, i + 5)) AS p FROM grams JOIN known USING (g) WHERE split <> 'train'),
+ covered AS (SELECT id, count(*) AS c FROM places GROUP BY 1),
+ partners AS (SELECT b AS id, count(*) AS m FROM common WHERE 5 * k >= 4 * (n + m - k) GROUP BY 1)"""
+
 _REVIEWS = f"""runs AS (SELECT review_id, review, sentiment, attrs, regexp_extract_all(lower(nfc_normalize(regexp_replace(review, {_INVISIBLE}, '', 'g'))), '[\\p{{L}}\\p{{Nd}}]+') AS r FROM reviews WHERE review IS NOT NULL),
  canonical AS (SELECT *, array_to_string(r, ' ') AS t, {_label('sentiment')} AS s, list_transform(list_sort(json_keys(attrs)), lambda k: k || ':' || (attrs::JSON -> k)::VARCHAR)::VARCHAR AS j FROM runs WHERE len(r) >= 4),
  kept AS (SELECT *, min(review_id) OVER (PARTITION BY t, s, j) AS kept_id FROM canonical)"""
@@ -65,7 +74,9 @@ def oracle_sql() -> dict[str, str]:
         "p1_terms": f"WITH {_TERMS} SELECT term, occurrences, records, mark FROM marked",
         "p2_found": f"WITH {_VECTORS} SELECT DISTINCT least(q, d) AS vec_a, greatest(q, d) AS vec_b FROM near WHERE c >= 0.85",
         "p3_found": f"WITH RECURSIVE {_GROUPS} SELECT DISTINCT a AS row_a, b AS row_b FROM reach WHERE a < b",
+        "p3_classes": f"WITH RECURSIVE {_GROUPS}, classes AS (SELECT row_id, least(row_id, coalesce((SELECT min(b) FROM reach WHERE a = row_id), row_id)) AS class_id FROM articles), named AS (SELECT row_id, list_sort(s) AS s FROM sets), degrees AS (SELECT a AS row_id, count(DISTINCT s) AS links FROM edges JOIN named ON row_id = b WHERE s <> (SELECT x.s FROM named x WHERE x.row_id = a) GROUP BY 1) SELECT row_id AS record_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_rows, coalesce(links, 0) AS links FROM classes LEFT JOIN degrees USING (row_id)",
         "p4_found": f"WITH {_SPLITS} SELECT least(a, b) AS id_a, greatest(a, b) AS id_b FROM common WHERE 5 * k >= 4 * (n + m - k)",
+        "p4_report": f"WITH {_SPLITS}, {_COVERAGE} SELECT split, source, count(*) AS records, count(m) AS overlapping, coalesce(sum(m), 0)::BIGINT AS pairs, sum(len(w))::BIGINT AS words, coalesce(sum(c), 0)::BIGINT AS covered_words FROM counted LEFT JOIN partners USING (id) LEFT JOIN covered USING (id) WHERE split <> 'train' GROUP BY 1, 2",
         "p5_found": f"WITH {_REVIEWS} SELECT kept_id, review_id FROM kept WHERE review_id <> kept_id",
         "p5_records": f"WITH {_REVIEWS} SELECT kept_id, count(*) AS copies, count(DISTINCT {{'a': review, 'b': sentiment, 'c': attrs}}) AS raw_forms FROM kept GROUP BY 1",
         "p6_found": f"WITH {_LEAKS} SELECT DISTINCT query_id, doc_id FROM qg JOIN dg USING (g)",
