@@ -1,8 +1,12 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
+import pytest
 
-from textquarry.llm.reading_level import MEASURES, fit_bands, measured, measures, reading_levels
+from textquarry.functions.words import words
+from textquarry.llm.reading_level import MEASURES, SHARES, WordTable, fit_bands, measure_texts, measured, reading_levels
 
 EASY = "Мама купила дом. Кот любит сад. Дом стоит тут. "
 HARD = "Поскольку трансцендентальная концептуализация методологической парадигмы конституировала эпистемологическую дихотомию, которую феноменологический постструктурализм, несмотря на институциональную неопределённость, верифицировал, однако коррелят, вопреки тому что дискурс опосредован, остаётся. "
@@ -19,18 +23,33 @@ def corpus(n=120):
 
 
 def test_measures():
-    ranks = np.array([], np.uint64), np.array([], np.int32)
-    assert measures(" 😀 ", ranks) is None
-    n, russian, *rest = measures("Кот спит. Если дом, то сад! <br/> https://x.example/a.b?c=1", ranks)
-    assert russian and rest[3:6] == [3.0, 0.5, 1 / 6]
-    assert measures("The cat sleeps here.", ranks)[1] is False and measures("Їжак і кіт у лісі", ranks)[1] is False
+    table = WordTable((np.array([], np.uint64), np.array([]), np.array([], np.int8)))
+    texts = [" 😀 ", "Кот спит. Если дом, то сад! <br/> https://x.example/a.b?c=1", "The cat sleeps here.", "Їжак і кіт у лісі"]
+    places, columns, rest = measure_texts(texts, table)
+    assert places == [1, 2, 3] and columns["russian"].tolist() == [True, False, False] and len(rest[0]) == 6
+    assert columns["sentence_words"][0] == 3.0 and columns["commas"][0] == 0.5 and columns["long_letters"][0] == 4
+    assert measure_texts([], table)[0] == [] == measure_texts(["", "!"], table)[0]
 
 
 def test_coverage_ranks(spark):
-    df = spark.createDataFrame([(1, "а а а а б б в"), (2, "а б"), (3, None), (4, "")], "doc_id long, text string")
-    got = {r["doc_id"]: (r["rank_50"], r["rank_75"], r["rank_90"]) for r in measured(df).collect()}
-    assert got == {1: (1, 2, 3), 2: (1, 2, 2)}
-    assert {r["doc_id"]: r["rank_90"] for r in measured(df, vocabulary=2).collect()} == {1: 3, 2: 2}
+    """Ranks are those of the whole vocabulary, however few words are sent to the tasks."""
+    df = spark.createDataFrame([(1, "а а а а б б в"), (2, "а б"), (3, None), (4, ""), (1, "г"), (5, "г<i>д</i>г")] + [(9, None)] * 300, "doc_id long, text string")
+    for held in (200_000, 2, 0):
+        got = sorted((r["doc_id"], r["rank_50"], r["rank_75"], r["rank_90"]) for r in measured(df, held_words=held).collect())
+        assert got == [(1, 1, 2, 5), (1, 2, 2, 2), (2, 1, 2, 2), (5, 2, 5, 5)]  # the words of markup are counted too
+
+
+def test_ranks_of_random_texts(spark):
+    rng = random.Random(3)
+    texts = [" ".join(f"{chr(1072 + int(rng.paretovariate(0.4)) % 30)}{chr(1072 + rng.randrange(20))}" for _ in range(rng.randrange(1, 60))) for _ in range(150)]
+    counts = Counter(w for t in texts for w in words(t))
+    rank = {w: 1 + sum(x > n for x in counts.values()) for w, n in counts.items()}
+    df = spark.createDataFrame([(i, t, "x", 7) for i, t in enumerate(texts)], "doc_id long, text string, term string, row int")
+    for held in (5, 60):
+        for r in measured(df, held_words=held).collect():
+            own = sorted(rank[w] for w in words(texts[r["doc_id"]]))
+            assert [r[f"rank_{round(100 * s)}"] for s in SHARES] == [own[math.ceil(s * len(own)) - 1] for s in SHARES]
+            assert r["function_words"] == pytest.approx(sum(sum(w in words(t) for t in texts) > 15 for w in words(texts[r["doc_id"]])) / len(own))
 
 
 def test_trees_separate():
