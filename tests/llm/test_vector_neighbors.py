@@ -33,15 +33,15 @@ def test_leaves_hold_every_row():
     assert sorted(order.tolist()) == list(range(1000)) and np.diff(np.append(starts, 1000)).max() <= 10
 
 
-@pytest.mark.parametrize("least", [-1.0, 0.85])
-def test_recall_and_exactness(spark, least):
+@pytest.mark.parametrize(("least", "sample_rows"), [(-1.0, 1 << 18), (0.85, 1 << 18), (-1.0, 48)])
+def test_recall_and_exactness(spark, least, sample_rows):
     rows = vectors()
     n = len(rows)
     rows += [(n + i, rows[3][1]) for i in range(12)]  # more copies than neighbours
     rows += [(5000, None), (5001, [0.0] * 64), (5002, [1.0] * 63), (5003, [float("nan")] + [1.0] * 63), (5004, [float("inf")] * 64), (5005, [None] + [1.0] * 63), (None, [1.0] * 64), (5006, [1e-200] * 64)]
     df = spark.createDataFrame([(*r, "c") for r in rows], "vec_id long, vec array<double>, key string")
     want = {(q, i) for q, hits in brute(rows, 5, 64).items() for c, i in hits if -c >= least}
-    found = nearest_vectors(df, min_cosine=least, cell_rows=64, leaf_rows=8).collect()
+    found = nearest_vectors(df, min_cosine=least, cell_rows=64, leaf_rows=8, sample_rows=sample_rows).collect()
     got = {(r["vec_id"], r["neighbor_id"]) for r in found}
     assert len(got) == len(found) and len(got & want) >= 0.98 * len(want)
     exact = {(q, i): -c for q, hits in brute(rows, 10**6, 64).items() for c, i in hits}
@@ -58,6 +58,14 @@ def test_hot_copies_give_bounded_rows(spark):
     assert similar_pairs(found, 0.85).where("vec_a < 400").count() == 15 + 394 * 5
 
 
+def test_copies_of_other_lengths_are_one_point(spark):
+    """Vectors of one direction tie, whatever their lengths, and the smaller ids come first."""
+    direction = np.random.default_rng(5).standard_normal(64)
+    rows = [(i, (direction * (1 + (i * 7) % 50)).tolist()) for i in range(50)]
+    found = nearest_vectors(spark.createDataFrame(rows, "vec_id long, vec array<double>")).collect()
+    assert {(r["vec_id"], r["neighbor_id"]) for r in found} == {(i, j) for i in range(50) for j in [x for x in range(6) if x != i][:5]}
+
+
 def test_small_tables(spark):
     schema = "vec_id long, vec array<double>"
     assert nearest_vectors(spark.createDataFrame([], schema)).count() == 0

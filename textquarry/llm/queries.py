@@ -37,7 +37,11 @@ def p1_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_pairs(nearest_vectors(_table(spark, sf_dir, "vectors"), k=5, min_cosine=0.85), 0.85)
+    return similar_pairs(p2_neighbors(spark, sf_dir), 0.85)
+
+
+def p2_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_vectors(_table(spark, sf_dir, "vectors"), k=5)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,9 @@ Unit vectors are projected to a few dimensions by a Gaussian (2-stable) matrix:
 of two vectors, over their squared distance, is chi-square distributed. A kd-tree over the projections orders
 the collection; a query takes its leaves by projected distance from it and verifies the vectors in them that are
 near enough in the projection, and stops once what is left lies so far there that a vector nearer than the k-th
-found would do so with a probability of at most 1 - confidence. The top of the tree, fitted on a bounded sample, cuts the collection into cells that
-tasks read from the shared folder; every row is indexed and every usable vector is a query.
+found would do so with a probability of at most 1 - confidence. The top of the tree, fitted on a bounded sample of
+projections, cuts the collection into a bounded number of cells that tasks read from the shared folder, in pieces
+where they are large; every row is indexed and every usable vector is a query.
 """
 
 from __future__ import annotations
@@ -88,12 +89,13 @@ def leaf_order(points: np.ndarray, leaf_rows: int) -> tuple[np.ndarray, np.ndarr
 
 
 class Block:
-    """The vectors of one cell, in leaf order, with their projections and the box of each leaf in the projection."""
+    """Vectors of one cell, in leaf order, with their projections and the box of each leaf in the projection. Of
+    equal cosines the smaller of ties comes first."""
 
-    def __init__(self, keys: np.ndarray, units: np.ndarray, matrix: np.ndarray, leaf_rows: int):
+    def __init__(self, keys: np.ndarray, ties: np.ndarray, units: np.ndarray, matrix: np.ndarray, leaf_rows: int):
         points = units @ matrix
         order, self.starts = leaf_order(points, leaf_rows)
-        self.keys, self.units, points = keys[order], units[order], points[order]
+        self.keys, self.ties, self.units, points = keys[order], ties[order], units[order], points[order]
         self.ends = np.append(self.starts[1:], len(order))
         self.low, self.high = np.minimum.reduceat(points, self.starts), np.maximum.reduceat(points, self.starts)
         self.squares = (points * points).sum(axis=1)
@@ -114,7 +116,7 @@ class Search:
     def __init__(self, block: Block, k: int, least: float, quantile: float):
         self.block, self.k, self.quantile = block, k, quantile
         self.cosine = np.full((len(block.keys), k), least)
-        self.key = np.zeros((len(block.keys), k), np.int64)
+        self.key, self.tie = np.zeros((2, len(block.keys), k), np.int64)
         self.found = np.zeros((len(block.keys), k), bool)
 
     def reach(self, at: slice = slice(None)) -> np.ndarray:
@@ -146,28 +148,28 @@ class Search:
                 else:
                     q, c = np.divmod(hits, len(rows))
                     cosine = np.einsum("ij,ij->i", block.units[a + q], other.units[rows[c]])
-                self._take(a + q, other.keys[rows[c]], cosine)
+                self._take(a + q, other.keys[rows[c]], other.ties[rows[c]], cosine)
 
-    def _take(self, q: np.ndarray, key: np.ndarray, cosine: np.ndarray) -> None:
+    def _take(self, q: np.ndarray, key: np.ndarray, tie: np.ndarray, cosine: np.ndarray) -> None:
         """Put verified pairs among the best of their queries."""
         better = (cosine >= self.cosine[q].min(axis=1)) & (key != self.block.keys[q])
-        q, key, cosine = q[better], key[better], cosine[better]
+        q, key, tie, cosine = q[better], key[better], tie[better], cosine[better]
         if not len(q):
             return
         asked = np.unique(q)
         whole = np.concatenate([np.repeat(asked, self.k), q])
         cosine = np.concatenate([self.cosine[asked].ravel(), cosine])
-        key = np.concatenate([self.key[asked].ravel(), key])
+        key, tie = np.concatenate([self.key[asked].ravel(), key]), np.concatenate([self.tie[asked].ravel(), tie])
         found = np.concatenate([self.found[asked].ravel(), np.ones(len(q), bool)])
-        order = np.lexsort((key, ~found, -cosine, whole))
+        order = np.lexsort((key, tie, ~found, -cosine, whole))
         starts = np.searchsorted(whole[order], asked)
         best = order[starts[:, None] + np.arange(self.k)]
-        self.cosine[asked], self.key[asked], self.found[asked] = cosine[best], key[best], found[best]
+        self.cosine[asked], self.key[asked], self.tie[asked], self.found[asked] = cosine[best], key[best], tie[best], found[best]
 
 
 def usable_vectors(df: DataFrame, vec_id: str, vec: str, dimensions: int) -> DataFrame:
-    """(vec_id, digest, unit): vectors of the right length, finite and not all zero, scaled to length 1; equal
-    vectors have equal digests of 128 bits. unit holds doubles as bytes."""
+    """(vec_id, digest, unit): vectors of the right length, finite and not all zero, scaled to length 1; vectors
+    of one direction, to twelve decimals, have equal digests of 128 bits. unit holds doubles as bytes."""
     kind = dict(df.dtypes)[vec_id]
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +182,7 @@ def usable_vectors(df: DataFrame, vec_id: str, vec: str, dimensions: int) -> Dat
             scaled = values / np.abs(values).max(axis=1, keepdims=True)
             scaled = scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(kept)), pa.array([xxhash.xxh3_128_digest(v.tobytes()) for v in values], pa.binary()), pa.array([u.tobytes() for u in scaled], pa.binary())],
+                [batch.column(0).take(pa.array(kept)), pa.array([xxhash.xxh3_128_digest(u.tobytes()) for u in np.round(scaled, 12) + 0.0], pa.binary()), pa.array([u.tobytes() for u in scaled], pa.binary())],
                 ["vec_id", "digest", "unit"],
             )
 
@@ -194,15 +196,17 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dimensions: int) -> np.ndarray:
 
 def nearest_vectors(
     df: DataFrame, vec_id: str = "vec_id", vec: str = "vec", k: int = 5, min_cosine: float = -1.0, dimensions: int = 64, projected: int = 16,
-    confidence: float = 0.99, cell_rows: int = 4096, leaf_rows: int = 256, sample_rows: int = 65_536, seed: int = 7,
+    confidence: float = 0.99, cell_rows: int = 4096, leaf_rows: int = 256, sample_rows: int = 1 << 18, sample_of_cell: int = 16, seed: int = 7,
 ) -> DataFrame:
     """(vec_id, neighbor_id, cosine, rank) of the k highest cosines of every usable vector, ties to the smaller id.
 
     Only neighbours of at least min_cosine come out, and the search goes no farther. A neighbour is missed
-    with a probability of at most 1 - confidence. Equal vectors are one point with its k + 1 smallest ids,
+    with a probability of at most 1 - confidence. Vectors of one direction are one point with its k + 1 smallest ids,
     however many rows share it, so no group is gathered; rows join back with hot groups spread. Null ids,
     null, short, long, non-finite and zero vectors have no neighbours and are nobody's. The driver holds the
-    tree (fitted on sample_rows rows at most) and the box of each cell.
+    projections of sample_rows rows at most, on which the tree is fitted, and the boxes of the cells, of which there
+    are sample_rows / sample_of_cell at most. A cell of more than cell_rows rows is asked and read in pieces of
+    that size, so memory in a task is bounded whatever the collection.
     """
     spark = df.sparkSession
     kind = dict(df.dtypes)[vec_id]
@@ -210,61 +214,96 @@ def nearest_vectors(
     by_digest = Window.partitionBy("digest").orderBy("vec_id")
     first = usable.withColumn("_rank", F.row_number().over(by_digest)).where(F.col("_rank") <= k + 1)
     points = first.groupBy("digest").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"), F.min_by("unit", "_rank").alias("unit"))
-    points = materialize(points.withColumn("key", F.xxhash64("digest")), "points")
+    tie = F.col("ids")[0].cast("long") if kind in ("tinyint", "smallint", "int", "bigint") else F.lit(0).cast("long")
+    points = materialize(points.select("digest", "ids", "unit", F.xxhash64("digest").alias("key"), tie.alias("tie")), "points")
     n = points.count()
-    depth = max(0, math.ceil(math.log2(max(1, n) / cell_rows)))
     matrix = projection(dimensions, projected, seed)
-    sampled = points.where(F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1_000_000)) < math.ceil(1e6 * sample_rows / max(1, n))).select("unit").limit(sample_rows).toArrow()
-    dims, cuts = fit_tree(_matrix(sampled["unit"], dimensions) @ matrix, depth)
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = (_matrix(batch.column(0), dimensions) @ matrix).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([p.tobytes() for p in at], pa.binary())], ["point"])
+
+    share = math.ceil(1e6 * sample_rows / max(1, n))
+    drawn = points.where(F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1_000_000)) < share).select("unit").mapInArrow(project, "point binary").limit(sample_rows).toArrow()
+    sampled = np.frombuffer(b"".join(drawn["point"].to_pylist()), np.float32).reshape(-1, projected)
+    depth = max(0, math.ceil(math.log2(max(1, n) / cell_rows)))
+    dims, cuts = fit_tree(sampled, min(depth, max(0, math.floor(math.log2(max(1, len(sampled)) / sample_of_cell)))))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = _matrix(batch.column(1), dimensions) @ matrix
             box = [pa.array([p.tobytes() for p in at], pa.binary()), pa.array(descend(at, dims, cuts), pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *box], ["key", "unit", "ids", "point", "cell"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *box], ["key", "unit", "tie", "point", "cell"])
 
     folder = shared_path(spark, "cells")
-    cells = points.select("key", "unit", "ids").mapInArrow(placed, f"key long, unit binary, ids array<{kind}>, point binary, cell long")
-    cells.repartition("cell").sortWithinPartitions("cell", "key").write.partitionBy("cell").parquet(folder)
+    cells = points.select("key", "unit", "tie").mapInArrow(placed, "key long, unit binary, tie long, point binary, cell long")
+    piece = F.pmod("key", F.lit(max(1, n // (64 * cell_rows * (len(cuts) + 1)))))  # spreads the writing of large cells
+    cells.repartition("cell", piece).sortWithinPartitions("cell").write.partitionBy("cell").parquet(folder)
 
     def boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             frame = pd.DataFrame(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.float64).reshape(-1, projected))
             grouped = frame.groupby(batch.column(1).to_numpy())
-            low, high = grouped.min(), grouped.max()
-            for name, bound in (("low", low), ("high", high)):
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(bound)), pa.array(bound.index, pa.int64()), pa.array(bound.to_numpy().tolist(), pa.list_(pa.float64()))], ["side", "cell", "bound"])
-
-    parts = spark.read.schema("point binary, cell long").parquet(folder).mapInArrow(boxes, "side string, cell long, bound array<double>")
-    flat = parts.select("side", "cell", F.posexplode("bound"))
-    bounds = flat.groupBy("cell", "pos").agg(F.min("col").alias("low"), F.max("col").alias("high")).toPandas() if n else pd.DataFrame(columns=["cell", "pos", "low", "high"])
-    filled = np.sort(bounds["cell"].unique()).astype(np.int64)
-    low = bounds.pivot(index="cell", columns="pos", values="low").to_numpy() if n else np.empty((0, projected))
-    high = bounds.pivot(index="cell", columns="pos", values="high").to_numpy() if n else np.empty((0, projected))
+            low, high, rows = grouped.min(), grouped.max(), grouped.size()
+            bounds = [pa.array(x.to_numpy().tolist(), pa.list_(pa.float64())) for x in (low, high)]
+            yield pa.RecordBatch.from_arrays([pa.array(low.index, pa.int64()), *bounds, pa.array(rows.to_numpy(), pa.int64())], ["cell", "low", "high", "rows"])
+
+    parts = spark.read.schema("point binary, cell long").parquet(folder).mapInArrow(boxes, "cell long, low array<double>, high array<double>, rows long")
+    sides = [f(F.col(c)[i]).alias(f"{c}_{i}") for c, f in (("low", F.min), ("high", F.max)) for i in range(projected)]
+    held = parts.groupBy("cell").agg(F.sum("rows").alias("rows"), *sides).orderBy("cell").toPandas()  # one row a cell, their number is bounded
+    filled, rows = held["cell"].to_numpy(np.int64), held["rows"].to_numpy(np.int64)
+    low, high = (held[[f"{c}_{i}" for i in range(projected)]].to_numpy(float) for c in ("low", "high"))
     quantile = chi_square_quantile(confidence, projected)
+    parts_upto = np.cumsum(-(-rows // cell_rows))
+    given = spark.sparkContext.broadcast((filled, low, high, parts_upto))
 
-    def read(cell: int, columns: list[str]) -> pa.Table:
+    def read(cell: int) -> Iterator[pa.Table]:
+        """A cell's rows in pieces of about cell_rows, in the same order for every reader."""
         system, path = fs.FileSystem.from_uri(folder)
-        return ds.dataset(f"{path}/cell={cell}", filesystem=system, format="parquet").to_table(columns)
+        held: list[pa.RecordBatch] = []
+        for file in sorted(ds.dataset(f"{path}/cell={cell}", filesystem=system, format="parquet").files):
+            for batch in ds.dataset(file, filesystem=system, format="parquet").to_batches(columns=["key", "tie", "unit"], batch_size=cell_rows, use_threads=False):
+                held.append(batch)
+                if sum(b.num_rows for b in held) >= cell_rows:
+                    yield pa.Table.from_batches(held)
+                    held = []
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def block_of(table: pa.Table) -> Block:
+        return Block(table["key"].to_numpy(), table["tie"].to_numpy(), _matrix(table["unit"], dimensions), matrix, leaf_rows)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled, low, high, upto = given.value
         for batch in batches:
-            for own in batch.column(0).to_pylist():
-                table = read(int(filled[own]), ["key", "unit"])
-                block = Block(table["key"].to_numpy(), _matrix(table["unit"], dimensions), matrix, leaf_rows)
+            for number in batch.column(0).to_pylist():
+                own = int(np.searchsorted(upto, number, side="right"))
+                before = int(upto[own - 1]) if own else 0
+                part, parts = number - before, int(upto[own]) - before
+                # Of a cell in several pieces the asking rows are those of one part, by their keys.
+                whole = [t.filter(pa.array(t["key"].to_numpy() % parts == part)) if parts > 1 else t for t in read(int(filled[own]))]
+                block = block_of(pa.concat_tables(whole))
+                if not len(block.keys):
+                    continue
                 state = Search(block, k, min_cosine, quantile)
                 state.over(block)
                 far = box_distances(low[own], high[own], low, high)
                 for other in np.argsort(far, kind="stable"):
+                    if far[other] > state.leaf_reach().max():
+                        break
                     leaf_far = box_distances(low[other], high[other], block.low, block.high)
-                    if other == own or (leaf_far > state.leaf_reach()).all():
+                    if (other == own and parts == 1) or (leaf_far > state.leaf_reach()).all():
                         continue
-                    more = read(int(filled[other]), ["key", "unit"])
-                    state.over(Block(more["key"].to_numpy(), _matrix(more["unit"], dimensions), matrix, leaf_rows))
+                    for table in read(int(filled[other])):
+                        if other == own:
+                            table = table.filter(pa.array(table["key"].to_numpy() % parts != part))
+                        if table.num_rows:
+                            state.over(block_of(table))
                 q, rank = np.nonzero(state.found)
                 yield pa.RecordBatch.from_arrays([pa.array(block.keys[q]), pa.array(state.key[q, rank]), pa.array(state.cosine[q, rank])], ["key", "other", "cosine"])
 
-    tasks = spark.range(0, len(filled), 1, max(1, len(filled)))  # a task for each cell
+    tasks = spark.range(0, int(parts_upto[-1]), 1, int(min(parts_upto[-1], 100_000))) if len(filled) else spark.range(0)  # as a rule a task for each piece
     near = tasks.mapInArrow(search, "key long, other long, cosine double")
     ids = points.select("key", "ids")
     others = near.join(ids.withColumnsRenamed({"key": "other", "ids": "other_ids"}), "other").groupBy("key").agg(F.flatten(F.collect_list(F.transform("other_ids", lambda i: F.struct((-F.col("cosine")).alias("c"), i.alias("i"))))).alias("far"))
