@@ -102,6 +102,7 @@ class Block:
         # With a last coordinate, one product tells how near two projections are.
         self.points = np.column_stack([points, -self.squares / 2]).astype(np.float32)
         self.asking = np.column_stack([points, np.ones(len(points))]).astype(np.float32)
+        self.near_units = self.units.astype(np.float32)
 
 
 def box_distances(low: np.ndarray, high: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> np.ndarray:
@@ -127,8 +128,12 @@ class Search:
         return np.maximum.reduceat(self.reach(), self.block.starts)
 
     def over(self, other: Block, leaves_at_once: int = 16) -> None:
-        """Take the leaves of another block, nearest first, until none is in reach."""
-        block = self.block
+        """Take the leaves of another block, nearest first, until none is in reach.
+
+        Where the projection last kept more than a tenth of the vectors, it is passed over. Cosines in single
+        precision, with a margin, then leave few pairs to be verified: of each query, those that can be among the
+        best so far, and among the best of these leaves."""
+        block, wide = self.block, False
         for leaf, (a, b) in enumerate(zip(block.starts, block.ends, strict=True)):
             far = box_distances(block.low[leaf], block.high[leaf], other.low, other.high)
             order = np.argsort(far, kind="stable")
@@ -139,15 +144,20 @@ class Search:
                 if not len(near):
                     break
                 rows = np.concatenate([np.arange(other.starts[x], other.ends[x]) for x in near])
-                within = block.asking[a:b] @ other.points[rows].T >= ((block.squares[a:b] - reach) / 2 - 1e-3).astype(np.float32)[:, None]
-                hits = np.flatnonzero(within)
-                if len(hits) > 0.1 * within.size:
-                    cosines = block.units[a:b] @ other.units[rows].T
-                    q, c = np.nonzero(cosines >= self.cosine[a:b].min(axis=1)[:, None])
-                    cosine = cosines[q, c]
-                else:
-                    q, c = np.divmod(hits, len(rows))
-                    cosine = np.einsum("ij,ij->i", block.units[a + q], other.units[rows[c]])
+                hits = None
+                if not wide or leaf == 0:
+                    hits = np.flatnonzero(block.asking[a:b] @ other.points[rows].T >= ((block.squares[a:b] - reach) / 2 - 1e-3).astype(np.float32)[:, None])
+                    wide = len(hits) > 0.1 * (b - a) * len(rows)
+                if wide:
+                    cosines = block.near_units[a:b] @ other.near_units[rows].T
+                    least = (self.cosine[a:b].min(axis=1) - 1e-5).astype(np.float32)
+                    hits = np.flatnonzero(cosines >= least[:, None])
+                    best = self.k + 1  # one may be the query itself
+                    if len(hits) > 4 * best * (b - a) and len(rows) > best:
+                        least = np.maximum(least, np.partition(cosines, -best, axis=1)[:, -best] - np.float32(2e-5))
+                        hits = np.flatnonzero(cosines >= least[:, None])
+                q, c = np.divmod(hits, len(rows))
+                cosine = np.einsum("ij,ij->i", block.units[a + q], other.units[rows[c]])
                 self._take(a + q, other.keys[rows[c]], other.ties[rows[c]], cosine)
 
     def _take(self, q: np.ndarray, key: np.ndarray, tie: np.ndarray, cosine: np.ndarray) -> None:
