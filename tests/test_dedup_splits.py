@@ -145,3 +145,10 @@ def test_validation_groups():
     assert all(a < b for a, b in pairwise(train))
     with pytest.raises(InvalidInput):
         validation_groups([["a"], ["b"], ["c"]], 0.5, 1)
+
+
+def test_control_numbers(spark):
+    statistics = spark.createDataFrame([(5, 3)], "rows long, kept long")
+    assert dedup.require_statistics(statistics, {"rows": 5, "kept": 3}) is statistics
+    with pytest.raises(InvalidInput, match="kept: 3 instead of 4"):
+        dedup.require_statistics(statistics, {"rows": 5, "kept": 4})

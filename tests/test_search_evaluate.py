@@ -1,4 +1,5 @@
 import json
+import random
 
 import numpy as np
 import pytest
@@ -7,8 +8,11 @@ from pyspark.sql import functions as F
 from textquarry import cli
 from textquarry.errors import InvalidInput, ModelImportError
 from textquarry.evaluate import classify, retrieval
+from textquarry.evaluate.experiment import sentiment_experiment
+from textquarry.evaluate.labelled import evaluate_labelled, sparse_hits
 from textquarry.evaluate.silhouette import silhouette
 from textquarry.evaluate.subset import build_subset
+from textquarry.operators import terms
 from textquarry.search import session as sessions
 from textquarry.search.index import build_index, dual_search, query_status, search
 
@@ -175,6 +179,13 @@ def test_train_search_evaluate(spark, tmp_path, capsys):
         with pytest.raises(ModelImportError):
             sessions.read_collection(spark, at("collection"))
         path.write_bytes(body)
+    assert metrics["mean_seconds"] is None
+    timed = sessions.evaluate(spark, at("collection"), {"lsa": at("lsa")}, timed=True)["models"]["lsa"]["metrics"]
+    assert timed["mean_seconds"] > 0 and timed["p95_seconds"] >= timed["mean_seconds"]
+    capsys.readouterr()
+    assert cli.main(["--format", "json", "analyze", "--model", at("lsa"), "--query", "Ракеты спутники", "--top", "2"]) == 0
+    found = json.loads(capsys.readouterr().out)
+    assert len(found["documents"]) == 2 and found["documents"][0]["sparse_cosine"] > 0 and found["terms"] and len(found["coordinates"]) == 3
     session = sessions.open_model(spark, at("lsa"))
     weights = spark.createDataFrame([("query", "космос", 0.5)], "doc_id string, term string, weight double")
     assert sessions.explain_query(session, weights, "космос")["terms"] == [("космос", 0.5)]
@@ -182,6 +193,69 @@ def test_train_search_evaluate(spark, tmp_path, capsys):
         sessions.explain_query(session, weights, "неизвестность")
 
 
+def labelled_rows(spark, n=60):
+    rng = random.Random(3)
+    words = {"спорт": "матч гол клуб тренер победа".split(), "наука": "опыт атом учёный лаборатория открытие".split()}
+    rows = []
+    for i in range(n):
+        label = ("спорт", "наука")[i % 2]
+        rows.append((f"r{i:03}", label, "test" if i % 5 == 0 else "train", [rng.choice(words[label]) for _ in range(8)] + [rng.choice(["город", "день"])]))
+    rows += [("x1", "спорт", "test", ["неведомое"]), ("x2", None, "test", ["гол"]), ("x3", "спорт", "other", ["гол"]), ("x4", "спорт", "test", None)]
+    return rows, spark.createDataFrame(rows, "doc_id string, label string, split string, tokens array<string>")
+
+
+def test_labelled_evaluation(spark):
+    rows, corpus = labelled_rows(spark)
+    report = evaluate_labelled(corpus, 3, 50)
+    assert (report["train"], report["test"]) == (48, 14) and len({r["query_id"] for r in report["examples"]}) == 3
+    for model in ("tfidf", "lsa"):
+        assert report["retrieval"][model]["evaluated"] == 12 and report["retrieval"][model]["skipped"] == 2 and report["retrieval"][model]["precision"] == 1.0
+    assert report["silhouette"]["lsa"]["value"] > 0 and report["silhouette"]["lda"]["value"] > 0
+    with pytest.raises(InvalidInput):
+        evaluate_labelled(corpus.where("split = 'train' or doc_id = 'x1'"), 3, 50)
+
+
+def test_sparse_hits_are_filled_up(spark):
+    """Documents without a common term follow by id, as each has cosine 0."""
+    train = spark.createDataFrame([(f"d{i}", ["а", "б"] if i == 4 else ["в"]) for i in range(8)], "doc_id string, tokens array<string>")
+    test = spark.createDataFrame([("q", ["а"]), ("none", ["я"])], "doc_id string, tokens array<string>")
+    got = [(r["query_id"], r["doc_id"], r["cosine"] > 0) for r in sparse_hits(train, test, 5).orderBy("query_id", "rank").collect()]
+    assert got == [("q", "d4", True)] + [("q", f"d{i}", False) for i in range(4)]
+
+
+def test_sparse_cosines_joined_or_sent(spark):
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(i, [f"t{rng.randrange(20)}" for _ in range(15)]) for i in range(40)], "doc_id long, tokens array<string>")
+    weights = terms.idf(terms.document_frequencies(docs), 40).cache()
+    frequencies = terms.term_frequencies(docs)
+    unit = terms.tfidf(frequencies, weights)
+    want = {}
+    rows = {}
+    for r in unit.collect():
+        rows.setdefault(r["doc_id"], {})[r["term"]] = r["weight"]
+    for a in range(5):
+        for b, other in rows.items():
+            if c := sum(w * other.get(t, 0) for t, w in rows[a].items()):
+                want[a, b] = c
+    asked = unit.where("doc_id < 5").withColumnRenamed("doc_id", "query_id")
+    for limit in (0, 10**6):
+        got = {(r["query_id"], r["doc_id"]): r["cosine"] for r in terms.sparse_cosines(asked, frequencies, weights, broadcast_rows=limit).collect()}
+        assert got == pytest.approx(want)
+
+
+def test_experiment(spark, tmp_path):
+    rng = random.Random(4)
+    words = {"positive": "хорошее платье нравится".split(), "negative": "плохая ткань порвалась".split(), "neautral": "обычный товар норма".split()}
+    rows = [(" ".join(rng.choices(words[k], k=6)) + f" номер{i}", k) for i in range(60) for k in words]
+    reviews = spark.createDataFrame(rows + [(None, "positive"), ("пусто", None)], "review string, sentiment string")
+    report, model, matrix = sentiment_experiment(reviews, spellings={"neautral": "neutral"})
+    assert report["sizes"] == {"train": 126, "validation": 27, "test": 27} and set(report["validation"]) == {"none", "stem"}
+    assert report["chosen"] == "none" and report["test"]["accuracy"] == 1.0 and report["classes"]["neutral"]["support"] == 9
+    assert model.classes == ("negative", "neutral", "positive") and matrix.count() == 9
+    with pytest.raises(InvalidInput):
+        sentiment_experiment(reviews.where("sentiment = 'positive'"))
+
+
 def test_vocabulary_and_classifier(spark, tmp_path, capsys):
     assert cli.main(["--format", "json", "vocabulary", "--text", "Отличные машины", "--stopwords", "default", "--synonyms", "default"]) == 0
     assert json.loads(capsys.readouterr().out)["normalized"] == ["хорош", "машин"]

@@ -8,7 +8,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 
 from textquarry.errors import CorpusReadError, InvalidInput, ModelExportError
-from textquarry.operators.prepare import load_config, parse_config, prepare_file, select_news
+from textquarry.operators.prepare import load_config, mapped, parse_config, prepare_file, select_news
 from textquarry.sources import readers, sinks
 
 
@@ -182,6 +182,12 @@ def test_preparation(spark, tmp_path):
     assert not (tmp_path / "n.csv").exists()
 
 
+@pytest.mark.parametrize(("trim", "kept"), [(True, 1), (False, 2)])
+def test_untrimmed_blanks_are_a_text(spark, trim, kept):
+    df = spark.createDataFrame([("a",), ("  ",), ("",), (None,)], "t string")
+    assert mapped(df, parse_config(BASE | {"cleaning": {"trim": trim, "empty": "drop"}})).count() == kept
+
+
 BASE = {"dataset": {"format": "csv"}, "columns": {"text": "t"}}
 
 
@@ -189,7 +195,7 @@ BASE = {"dataset": {"format": "csv"}, "columns": {"text": "t"}}
     "change",
     [
         {"dataset": {"format": "xml"}}, {"dataset": {"format": "csv", "delimiter": ";;"}}, {"columns": {"text": []}}, {"columns": {"text": ["a", "a"]}}, {"columns": {}}, {"other": {}}, {"cleaning": {"x": 1}},
-        {"cleaning": {"trim": "yes"}}, {"split": {"enabled": True}}, {"split": {"train": 50}}, {"split": {"train": True, "test": 99}}, {"split": {"train": float("nan")}}, {"sampling": {"per_class": 0}},
+        {"cleaning": {"trim": "yes"}}, {"split": {"enabled": True}}, {"columns": {"text": "t", "label": "l", "split": "s"}, "split": {"enabled": True}}, {"split": {"train": 50}}, {"split": {"train": True, "test": 99}}, {"split": {"train": float("nan")}}, {"sampling": {"per_class": 0}},
         {"sampling": {"per_split": 3}}, {"sampling": {"per_split": {"dev": 1}}}, {"expect": {"rows": -1}}, {"expect": {"splits": {"train": 99}}}, {"adapter": {"path": ""}},
     ],
 )

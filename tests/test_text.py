@@ -99,3 +99,9 @@ def test_encoding_of_words(spark):
     assert df.select(T.encode_words(F.col("t"), table)).first()[0] == [2, 1, 3]
     assert df.select(T.encode_words(F.col("t"), table, 2)).first()[0] == [2, 1]
     assert df.select(T.encode_words(F.col("t"), table, 5)).first()[0] == [2, 1, 3, 0, 0]
+
+
+def test_excerpts_count_utf16_units(spark):
+    texts = ["a" * 200, "🙂" * 100, "a" + "🙂" * 100, "a" * 179 + "🙂", "a" * 178 + "🙂b", "é" * 190, "", None, "x \n y"]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(T.excerpt(F.col("t"))).collect()]
+    assert got == ["a" * 180, "🙂" * 90, "a" + "🙂" * 89, "a" * 179, "a" * 178 + "🙂", "é" * 180, "", None, "x y"]

@@ -1,4 +1,5 @@
-"""Command line: prepare, vocabulary, train, search, topics, subset, evaluate, classify. Exit 0, 1 on an error of
+"""Command line: prepare, vocabulary, train, search, topics, analyze, subset, evaluate, evaluate-labels, experiment,
+classify. Exit 0, 1 on an error of
 execution, 2 on wrong arguments; results go to standard output, errors to standard error."""
 
 from __future__ import annotations
@@ -38,8 +39,11 @@ def parser() -> argparse.ArgumentParser:
         t.add_argument(f"--{name}", type=kind)
     command("search", "model", query=None, file=None, top=5, algorithm=None)
     command("topics", "model", top=10)
+    command("analyze", "model", query=None, file=None, top=5)
+    command("evaluate-labels", "input", dimensions=50, max_features=2000)
+    command("experiment", "input", "output")
     command("subset", "corpus", "queries", "qrels", "output", documents=10_000, query_count=500, seed=42)
-    command("evaluate", "collection", lsa_model=None, word2vec_model=None, cnn_model=None, output=None)
+    command("evaluate", "collection", lsa_model=None, word2vec_model=None, cnn_model=None, output=None).add_argument("--timed", action="store_true")
     command("classify", "input", "model", text=None, file=None)
     return p
 
@@ -91,6 +95,27 @@ def run(args: argparse.Namespace) -> dict:
             for r in rows:
                 out.setdefault(f"{r['component']} {r['side']}", []).append(r["term"])
             return out
+        case "analyze":
+            return sessions.analyze(sessions.open_model(spark, args.model, "lsa"), query_text(args.query, args.file), args.top)
+        case "evaluate-labels":
+            from textquarry.evaluate.labelled import evaluate_labelled
+            from textquarry.functions.normalize import prepared_tokens
+            from textquarry.sources.readers import read_canonical
+
+            corpus = read_canonical(spark, args.input).select(F.col("id").alias("doc_id"), "label", "split", prepared_tokens(F.col("text")).alias("tokens"))
+            return evaluate_labelled(corpus, args.dimensions, args.max_features)
+        case "experiment":
+            from pathlib import Path
+
+            from textquarry.evaluate.experiment import sentiment_experiment
+            from textquarry.models import store
+            from textquarry.sources.readers import read_reviews
+            from textquarry.sources.sinks import write_json
+
+            report, model, matrix = sentiment_experiment(read_reviews(spark, args.input), spellings={"neautral": "neutral"})
+            store.save(model, args.output, report)
+            write_json(report | {"confusion": [r.asDict() for r in matrix.orderBy("label", "prediction").collect()]}, str(Path(args.output) / "report.json"))
+            return report
         case "subset":
             from textquarry.evaluate.subset import build_subset
             from textquarry.functions.normalize import PROFILE
@@ -105,7 +130,7 @@ def run(args: argparse.Namespace) -> dict:
             models = {n: m for n in ("lsa", "word2vec", "cnn") if (m := getattr(args, f"{n}_model"))}
             if not models:
                 raise InvalidInput("name a model")
-            return sessions.evaluate(spark, args.collection, models, args.output)["models"]
+            return sessions.evaluate(spark, args.collection, models, args.output, args.timed)["models"]
         case "classify":
             from pathlib import Path
 

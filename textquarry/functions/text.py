@@ -92,8 +92,12 @@ def joined(columns: Sequence[Column], joiner: str) -> Column:
 
 
 def excerpt(text: Column, length: int = 180) -> Column:
-    """White space collapsed, then the first characters."""
-    return F.substring(F.regexp_replace(text, r"\s+", " "), 1, length)
+    """White space collapsed, then the first UTF-16 units; a character of two units that would be cut is left out."""
+    first = F.substring(F.regexp_replace(text, r"\s+", " "), 1, length)
+    units = F.substring(F.encode(first, "UTF-16BE"), 1, 2 * length)
+    torn = F.hex(F.substring(units, 2 * length - 1, 1)).rlike("^D[89AB]$")
+    cut = F.decode(F.when(torn, F.substring(units, 1, 2 * length - 2)).otherwise(units), "UTF-16BE")
+    return F.when(first.rlike(r"[\x{10000}-\x{10FFFF}]"), cut).otherwise(first)
 
 
 def excerpt_split(text: Column, length: int = 200) -> Column:

@@ -6,6 +6,7 @@ executors; its size is bounded by max_cells, whatever the corpus.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.errors import InvalidInput, ModelTrainingError
-from textquarry.operators.terms import document_frequencies, idf, term_frequencies, tfidf, vocabulary_ids
+from textquarry.operators.terms import document_frequencies, idf, vocabulary_ids
 from textquarry.session import materialize
 
 MAX_CELLS = 20_000_000
@@ -30,10 +31,37 @@ class Lsa:
     unit: bool  # whether documents are scaled to length 1
 
 
-def sparse_rows(weights: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(doc_id, ids, values) of (doc_id, term, weight)."""
-    known = weights.join(vocabulary.select("term", "term_id"), "term")
-    return known.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term_id", "weight"))).alias("e")).select("doc_id", F.col("e.term_id").alias("ids"), F.col("e.weight").alias("values"))
+def _weights(batch: pa.RecordBatch, known: dict[str, tuple[int, float]]) -> tuple[list, list, list]:
+    """(ids, values, known tokens) of each row's tokens: (1 + ln tf) idf over the length of the row."""
+    ids, values, tokens = [], [], []
+    for row in batch.column(1).to_pylist():
+        counts = {known[t][0]: (n, known[t][1]) for t, n in Counter(row or ()).items() if t in known}
+        own = np.array(sorted(counts), np.int64)
+        n, idf_ = np.array([counts[i] for i in own.tolist()], float).reshape(-1, 2).T
+        raw = (1 + np.log(n)) * idf_
+        ids.append(own)
+        values.append(raw / max(np.linalg.norm(raw), 1e-300))
+        tokens.append(int(n.sum()))
+    return ids, values, tokens
+
+
+def held_vocabulary(vocabulary: DataFrame) -> dict[str, tuple[int, float]]:
+    """The vocabulary of a model; a square of it fits MAX_CELLS."""
+    return {r["term"]: (r["term_id"], r["idf"]) for r in vocabulary.select("term", "term_id", "idf").collect()}
+
+
+def sparse_rows(docs: DataFrame, vocabulary: dict, doc_id: str = "doc_id", tokens: str = "tokens") -> DataFrame:
+    """(doc_id, ids, values) of each row, in one pass over its tokens."""
+    held = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(at, 1000) for at in range(0, whole.num_rows, 1000)):
+                ids, values, _ = _weights(batch, held.value)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], ["doc_id", "ids", "values"])
+
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(tokens).alias("tokens"))
+    return rows.mapInArrow(weighted, f"doc_id {dict(rows.dtypes)['doc_id']}, ids array<int>, values array<double>")
 
 
 def _dense(batch: pa.RecordBatch, ids: int, values: int, features: int) -> np.ndarray:
@@ -92,7 +120,7 @@ def fit(docs: DataFrame, dimensions: int = 50, max_features: int = 2000, doc_id:
     features = vocabulary.count()
     if n < 2 or features < 2:
         raise ModelTrainingError("two documents and two terms are needed")
-    rows = sparse_rows(tfidf(term_frequencies(docs, doc_id, tokens), vocabulary), vocabulary)
+    rows = sparse_rows(docs, held_vocabulary(vocabulary), doc_id, tokens)
     projection, values = decompose(gram_matrix(rows, features), min(dimensions, n - 1, features - 1))
     if not len(values):
         raise ModelTrainingError("no document has a known term")
@@ -101,24 +129,24 @@ def fit(docs: DataFrame, dimensions: int = 50, max_features: int = 2000, doc_id:
 
 def transform(model: Lsa, docs: DataFrame, doc_id: str = "doc_id", tokens: str = "tokens") -> DataFrame:
     """(doc_id, vec, known_tokens): every row; without known tokens, or where the length is at most 1e-12, zeros."""
-    frequencies = term_frequencies(docs, doc_id, tokens)
-    rows = sparse_rows(tfidf(frequencies, model.vocabulary), model.vocabulary)
-    known = frequencies.join(model.vocabulary.select("term"), "term").groupBy("doc_id").agg(F.sum("tf").cast("int").alias("known_tokens"))
-    all_rows = docs.select(F.col(doc_id).alias("doc_id")).join(rows, "doc_id", "left").join(known, "doc_id", "left")
-    kind = dict(docs.dtypes)[doc_id]
-    held = docs.sparkSession.sparkContext.broadcast(model.projection)
+    held = docs.sparkSession.sparkContext.broadcast((held_vocabulary(model.vocabulary), model.projection))
     unit = model.unit
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, projection = held.value
         for whole in batches:
             for batch in (whole.slice(at, 512) for at in range(0, whole.num_rows, 512)):
-                x = _dense(batch, 1, 2, held.value.shape[0]) @ held.value
+                ids, values, known = _weights(batch, vocabulary)
+                x = np.zeros((batch.num_rows, projection.shape[0]))
+                x[np.repeat(np.arange(batch.num_rows), [len(i) for i in ids]), np.concatenate(ids)] = np.concatenate(values)
+                x = x @ projection
                 if unit:
                     length = np.linalg.norm(x, axis=1, keepdims=True)
                     x = np.where(length > 1e-12, x / np.maximum(length, 1e-300), 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64())), batch.column(3)], ["doc_id", "vec", "known_tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64())), pa.array(known, pa.int32())], ["doc_id", "vec", "known_tokens"])
 
-    return all_rows.select("doc_id", "ids", "values", F.coalesce("known_tokens", F.lit(0)).alias("known_tokens")).mapInArrow(project, f"doc_id {kind}, vec array<double>, known_tokens int")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(tokens).alias("tokens"))
+    return rows.mapInArrow(project, f"doc_id {dict(rows.dtypes)['doc_id']}, vec array<double>, known_tokens int")
 
 
 def topic_terms(model: Lsa, n: int = 10) -> DataFrame:

@@ -36,6 +36,15 @@ def majority_statistics(df: DataFrame, text: str, label: str, mapping: dict[str,
     return both.select("rows", "empty", "kept", (texts - F.col("kept")).alias("ties"), "resolved")
 
 
+def require_statistics(statistics: DataFrame, expected: dict[str, int]) -> DataFrame:
+    """The statistics, if each expected control number holds; a number that differs is an error that names all."""
+    found = statistics.first().asDict()
+    wrong = [f"{name}: {found.get(name)} instead of {n}" for name, n in expected.items() if found.get(name) != n]
+    if wrong:
+        raise InvalidInput("control numbers differ: " + ", ".join(wrong))
+    return statistics
+
+
 def deduplicate(df: DataFrame, duplicates: str = "error", conflicts: str = "error", tie: str = "error") -> DataFrame:
     """Rows (id, text, label, split) with each text once.
 

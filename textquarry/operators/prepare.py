@@ -135,6 +135,8 @@ def parse_config(source: Mapping) -> TableConfig:
     config = TableConfig(**values)
     if (config.split_enabled or config.per_class is not None) and config.label is None:
         _fail("columns", "needs label for a split or a sample per class")
+    if config.split_enabled and config.split is not None:
+        _fail("columns.split", "does not go with a split that is made")
     if config.per_split is not None and not config.split_enabled and config.split is None:
         _fail("sampling.per_split", "needs splits")
     return config
@@ -155,7 +157,7 @@ def mapped(df: DataFrame, config: TableConfig) -> DataFrame:
     whole = joined(texts, config.joiner) if config.trim else F.concat_ws(config.joiner, *[F.coalesce(c, F.lit("")) for c in texts])
     any_text = F.lit(False)
     for c in texts:
-        any_text = any_text | (strip(F.coalesce(c, F.lit(""))) != "")
+        any_text = any_text | (clean(F.coalesce(c, F.lit(""))) != "")  # untrimmed, blanks are a text
     label = labels_replaced(column(config.label), dict(config.labels)) if config.label and config.labels else column(config.label) if config.label else F.lit(None).cast("string")
     split = column(config.split) if config.split else F.lit(None).cast("string")
     rows = df.select(whole.alias("text"), label.alias("label"), split.alias("split"), (column(config.id) if config.id else F.lit(None).cast("string")).alias("id"), any_text.alias("_any"))

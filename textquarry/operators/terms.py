@@ -2,15 +2,31 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textquarry.session import materialize
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in (whole.slice(at, 1000) for at in range(0, whole.num_rows, 1000)):
+            counts = [Counter(t) if t else {} for t in batch.column(1).to_pylist()]
+            owner = np.repeat(np.arange(batch.num_rows), [len(c) for c in counts])
+            columns = [pa.array([x for c in counts for x in part(c)], kind) for part, kind in ((dict.keys, pa.string()), (dict.values, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), *columns], ["doc_id", "term", "tf"])
+
 
 def term_frequencies(docs: DataFrame, doc_id: str = "doc_id", tokens: str = "tokens") -> DataFrame:
-    """(doc_id, term, tf). Arrays are placed by document before they are unrolled, so grouping by (document, term)
-    and later windows by document need no further shuffle."""
-    placed = docs.select(F.col(doc_id).alias("doc_id"), F.col(tokens).alias("tokens")).repartition("doc_id")
-    return placed.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(doc_id, term, tf) of each row, counted where the row is, without a shuffle; a document is one row. Null
+    and empty arrays have no terms."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(tokens).alias("tokens"))
+    return rows.mapInArrow(_counted, f"doc_id {dict(rows.dtypes)['doc_id']}, term string, tf long")
 
 
 def collection_frequencies(docs: DataFrame, tokens: str = "tokens", least: int = 1) -> DataFrame:
@@ -19,10 +35,9 @@ def collection_frequencies(docs: DataFrame, tokens: str = "tokens", least: int =
 
 
 def document_frequencies(docs: DataFrame, tokens: str = "tokens", least: int = 1) -> DataFrame:
-    """(term, df, cf) without grouping by document: each array adds its distinct tokens once."""
-    one = docs.select(F.explode(F.array_distinct(tokens)).alias("term"), F.lit(1).alias("d"), F.lit(0).alias("c"))
-    all_ = docs.select(F.explode(tokens).alias("term"), F.lit(0).alias("d"), F.lit(1).alias("c"))
-    return one.unionByName(all_).groupBy("term").agg(F.sum("d").alias("df"), F.sum("c").alias("cf")).where(F.col("df") >= least)
+    """(term, df, cf): the counts of each row are summed up before the shuffle."""
+    rows = term_frequencies(docs.select(F.lit(0).alias("doc_id"), tokens), "doc_id", tokens)
+    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).where(F.col("df") >= least)
 
 
 def idf(frequencies: DataFrame, documents) -> DataFrame:
@@ -61,11 +76,21 @@ def coverage(docs: DataFrame, vocabulary: DataFrame, doc_id: str = "doc_id", tok
     return each.groupBy("doc_id").agg(F.count("_known").alias("known"), F.count("term").alias("total"))
 
 
-def sparse_cosines(queries: DataFrame, documents: DataFrame) -> DataFrame:
-    """(query_id, doc_id, cosine) of weight tables (query_id, term, weight) and (doc_id, term, weight) with unit
-    norms, for pairs with a common term. An equi-join on terms; sums combine before the second shuffle."""
-    q = queries.select("query_id", "term", F.col("weight").alias("_q"))
-    return q.join(documents.select("doc_id", "term", F.col("weight").alias("_d")), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("_q") * F.col("_d")).alias("cosine"))
+def sparse_cosines(queries: DataFrame, documents: DataFrame, weights: DataFrame, sublinear: bool = True, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """(query_id, doc_id, cosine) of unit query weights (query_id, term, weight) and term frequencies (doc_id, term, tf)
+    of documents, for pairs with a common term.
+
+    Queries are a stated set: up to broadcast_rows of their terms go to every task, where documents are scored
+    without moving their terms; more are joined by term. Only the lengths of documents need the weights of all terms."""
+    scale = 1 + F.log("tf") if sublinear else F.col("tf").cast("double")
+    asked = queries.select("query_id", "term", F.col("weight").alias("_q")).join(weights.select("term", "idf"), "term")
+    asked = materialize(asked, "asked")
+    if asked.count() <= broadcast_rows:
+        asked = F.broadcast(asked)
+    scores = documents.join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("_q") * scale * F.col("idf")).alias("_s"))
+    raw = documents.join(weights.select("term", "idf"), "term").withColumn("_w", scale * F.col("idf"))
+    lengths = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_n"))
+    return scores.join(lengths, "doc_id").select("query_id", "doc_id", F.when(F.col("_n") > 0, F.col("_s") / F.col("_n")).otherwise(0.0).alias("cosine"))
 
 
 def ranked(scores: DataFrame, k: int, group: str = "query_id", score: str = "cosine", tie: str = "doc_id") -> DataFrame:

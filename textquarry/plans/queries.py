@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.evaluate.classify import class_report, confusion, summary
+from textquarry.evaluate.labelled import evaluate_labelled, sparse_hits, train_and_test
 from textquarry.evaluate.retrieval import aggregate_metrics, label_precision, mean_precision, query_metrics
 from textquarry.evaluate.silhouette import silhouette
 from textquarry.functions import text as T
@@ -16,8 +17,8 @@ from textquarry.functions.normalize import prepared_tokens, vocabulary
 from textquarry.models import cnn, lda, lsa, naive_bayes, word2vec
 from textquarry.operators import dedup, splits, terms
 from textquarry.search.index import build_index, query_status, search, with_excerpts
-from textquarry.session import materialize
-from textquarry.sources.readers import canonical_violations
+from textquarry.session import materialize, shared_path, spread
+from textquarry.sources.readers import canonical_violations, read_table
 
 SPELLINGS = {"neautral": "neutral"}
 SHARES = {"train": 0.7, "validation": 0.15, "test": 0.15}
@@ -27,13 +28,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts are worked on at length."""
+    return spread(table(spark, sf_dir, name))
+
+
 def _clean(column: str):
     return T.without_words(T.normalized_tokens(F.col(column)), STOP_WORDS)
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, tokens) of documents without stop words, written once as several steps read them."""
-    return materialize(table(spark, sf_dir, "documents").select("doc_id", _clean("text").alias("tokens")), "tokens")
+    return materialize(_texts(spark, sf_dir, "documents").select("doc_id", _clean("text").alias("tokens")), "tokens")
 
 
 def _query_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,9 +50,9 @@ def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TF-IDF cosines of all queries with all documents that share a term."""
     docs = _docs(spark, sf_dir)
     weights = terms.idf(terms.document_frequencies(docs), docs.count())
-    documents = terms.tfidf(terms.term_frequencies(docs), weights)
+    weights = materialize(weights, "weights")
     queries = terms.tfidf(terms.term_frequencies(_query_tokens(spark, sf_dir), "query_id"), weights)
-    return terms.sparse_cosines(queries.withColumnRenamed("doc_id", "query_id"), documents)
+    return terms.sparse_cosines(queries.withColumnRenamed("doc_id", "query_id"), terms.term_frequencies(docs), weights)
 
 
 def tfidf_search(spark, sf_dir):
@@ -55,11 +61,11 @@ def tfidf_search(spark, sf_dir):
 
 
 def token_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.normalized_tokens(F.col("text"))).cast("long").alias("n"))
+    return _texts(spark, sf_dir, "documents").select("doc_id", F.size(T.normalized_tokens(F.col("text"))).cast("long").alias("n"))
 
 
 def clean_token_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(_clean("text")).cast("long").alias("n"))
+    return _texts(spark, sf_dir, "documents").select("doc_id", F.size(_clean("text")).cast("long").alias("n"))
 
 
 def folded_titles(spark, sf_dir):
@@ -87,7 +93,7 @@ def tfidf_top_terms(spark, sf_dir):
 
 
 def term_counts_by_language(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("lang", F.explode(_clean("text")).alias("term"))
+    rows = _texts(spark, sf_dir, "documents").select("lang", F.explode(_clean("text")).alias("term"))
     return rows.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -198,9 +204,47 @@ def unknown_judgments(spark, sf_dir):
 
 
 def title_matches(spark, sf_dir):
+    """Queries that are a document's title or its whole text, but for white space and case."""
     queries = table(spark, sf_dir, "query_evaluations").select("query_id", T.comparison_key(F.col("text")).alias("key"))
-    documents = table(spark, sf_dir, "documents").select("doc_id", T.comparison_key(F.substring_index("text", ".", 1)).alias("key"))
-    return queries.join(documents, "key").select("query_id", "doc_id")
+    keys = F.array_distinct(F.array(T.comparison_key(F.col("title")), T.comparison_key(F.col("text"))))
+    documents = table(spark, sf_dir, "documents").select("doc_id", F.explode(keys).alias("key")).where("key <> ''")
+    return queries.join(documents, "key").select("query_id", "doc_id").distinct()
+
+
+def query_terms(spark, sf_dir):
+    """The three heaviest terms of each query."""
+    docs = _docs(spark, sf_dir)
+    weights = terms.idf(terms.document_frequencies(docs), docs.count())
+    asked = terms.tfidf(terms.term_frequencies(_query_tokens(spark, sf_dir), "query_id"), weights)
+    top = terms.ranked(asked.withColumn("weight", F.round("weight", 9)), 3, "doc_id", "weight", "term")
+    return top.select(F.col("doc_id").alias("query_id"), "term", F.col("rank").cast("long").alias("rank"), F.round("weight", 6).alias("weight"))
+
+
+def _split_corpus(spark, sf_dir):
+    rows = _texts(spark, sf_dir, "canonical_corpus")
+    return rows.select(F.col("id").alias("doc_id"), T.category(F.col("label")).alias("label"), T.category(F.col("split")).alias("split"), _clean("text").alias("tokens"))
+
+
+def split_hits(spark, sf_dir):
+    """The nearest training rows of every test row by TF-IDF, fitted on the training rows alone."""
+    train, test = (materialize(rows, "split") for rows in train_and_test(_split_corpus(spark, sf_dir)))
+    hits = sparse_hits(train, test)
+    return hits.select("query_id", "doc_id", F.round("cosine", 6).alias("cosine"), F.col("rank").cast("long").alias("rank"))
+
+
+def split_precision(spark, sf_dir):
+    train, test = (materialize(rows, "split") for rows in train_and_test(_split_corpus(spark, sf_dir)))
+    asked = test.select(F.col("doc_id").alias("query_id"), "label")
+    found = mean_precision(label_precision(sparse_hits(train, test), asked, train.select("doc_id", "label")), asked)
+    return found.select("evaluated", "skipped", F.round("precision", 6).alias("precision"), F.round("hit", 6).alias("hit"))
+
+
+def table_round_trip(spark, sf_dir):
+    """The canonical corpus written as a delimited table and read back by the reader of such tables."""
+    path = shared_path(spark, "table")
+    rows = _corpus(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"[\r\n]", " "))
+    rows.write.options(header=True, quote='"', escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return read_table(spark, path, ("id", "text", "label", "split"), ",").select("id", "text", "label", "split")
 
 
 def json_attributes(spark, sf_dir):
@@ -210,7 +254,7 @@ def json_attributes(spark, sf_dir):
 
 def _labelled(spark, sf_dir):
     """Reviews with tokens, class and a split by hash: a fifth is for testing."""
-    rows = table(spark, sf_dir, "reviews").select("review_id", T.category(F.col("sentiment"), SPELLINGS).alias("label"), T.normalized_tokens(F.col("review")).alias("tokens"))
+    rows = _texts(spark, sf_dir, "reviews").select("review_id", T.category(F.col("sentiment"), SPELLINGS).alias("label"), T.normalized_tokens(F.col("review")).alias("tokens"))
     return rows.where("label is not null").withColumn("test", F.substring(F.sha2(F.col("review_id").cast("string"), 256), 1, 1).isin("0", "1", "2"))
 
 
@@ -297,7 +341,7 @@ def embedding_silhouette(spark, sf_dir):
 
 
 def stemmed_vocabulary(spark, sf_dir):
-    rows = vocabulary(table(spark, sf_dir, "lenta").select("row_id", F.concat_ws("\n", "title", "text").alias("content")), "content")
+    rows = vocabulary(_texts(spark, sf_dir, "lenta").select("row_id", F.concat_ws("\n", "title", "text").alias("content")), "content")
     return rows.select("row_id", F.explode("normalized").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -307,7 +351,7 @@ def loaded_corpus(spark, sf_dir):
 
 
 def _prepared(spark, sf_dir):
-    return materialize(table(spark, sf_dir, "documents").select("doc_id", "source", "title", "text", prepared_tokens(F.col("text")).alias("tokens")), "prepared")
+    return materialize(_texts(spark, sf_dir, "documents").select("doc_id", "source", "title", "text", prepared_tokens(F.col("text")).alias("tokens")), "prepared")
 
 
 def lsa_singular_values(spark, sf_dir):
@@ -324,6 +368,13 @@ def lsa_search(spark, sf_dir):
     return with_excerpts(hits, rows)
 
 
+def labelled_evaluation(spark, sf_dir):
+    """TF-IDF and LSA over the test split, with silhouettes."""
+    found = evaluate_labelled(_split_corpus(spark, sf_dir))
+    rows = [(name, r["evaluated"], r["skipped"], r["precision"], r["hit"], found["silhouette"].get("lsa", {}).get("value") if name == "lsa" else None) for name, r in found["retrieval"].items()]
+    return spark.createDataFrame(rows, "model string, evaluated long, skipped long, precision double, hit double, silhouette double")
+
+
 def topic_terms(spark, sf_dir):
     return lsa.topic_terms(lsa.fit(_prepared(spark, sf_dir), 10))
 

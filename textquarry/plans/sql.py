@@ -6,7 +6,6 @@ from textquarry.functions.lexicon import STOP_WORDS
 from textquarry.functions.text import TOKEN_PATTERN
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
-_FIRST_SENTENCE = "split_part(text, '.', 1)"
 _SHARES = (("train", 0.7), ("validation", 0.15), ("test", 0.15))
 
 
@@ -46,11 +45,22 @@ _IDF = f"""{_DOCS}, each_term AS (SELECT doc_id, unnest(tokens) AS term FROM doc
  idf AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, ln((1 + (SELECT count(*) FROM docs)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY 1)"""
 _WEIGHTS = f"""{_IDF}, raw AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM tf JOIN idf USING (term)),
  weights AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM raw)"""
-_SPARSE = f"""{_WEIGHTS}, {_QUERIES}, qtf AS (SELECT query_id, term, count(*) AS tf FROM (SELECT query_id, unnest(tokens) AS term FROM asked) GROUP BY 1, 2),
+_ASKED = f"""{_WEIGHTS}, {_QUERIES}, qtf AS (SELECT query_id, term, count(*) AS tf FROM (SELECT query_id, unnest(tokens) AS term FROM asked) GROUP BY 1, 2),
  qraw AS (SELECT query_id, term, (1 + ln(tf)) * idf AS w FROM qtf JOIN idf USING (term)),
- qweights AS (SELECT query_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY query_id)) AS weight FROM qraw),
- scores AS (SELECT query_id, doc_id, round(sum(q.weight * d.weight), 9) AS cosine FROM qweights q JOIN weights d USING (term) GROUP BY 1, 2),
+ qweights AS (SELECT query_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY query_id)) AS weight FROM qraw)"""
+_SPARSE = f"""{_ASKED}, scores AS (SELECT query_id, doc_id, round(sum(q.weight * d.weight), 9) AS cosine FROM qweights q JOIN weights d USING (term) GROUP BY 1, 2),
  hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, doc_id) AS rank FROM scores QUALIFY rank <= 10)"""
+_SPLIT_HITS = f"""rows_ AS (SELECT id AS doc_id, {_label('label')} AS label, {_label('split')} AS split, {_clean('text')} AS tokens FROM canonical_corpus WHERE label IS NOT NULL),
+ docs AS (SELECT doc_id, tokens FROM rows_ WHERE split = 'train'), asked AS (SELECT doc_id AS query_id, tokens FROM rows_ WHERE split = 'test'),
+ {_WEIGHTS.removeprefix(_DOCS + ', ')}, qtf AS (SELECT query_id, term, count(*) AS tf FROM (SELECT query_id, unnest(tokens) AS term FROM asked) GROUP BY 1, 2),
+ qraw AS (SELECT query_id, term, (1 + ln(tf)) * idf AS w FROM qtf JOIN idf USING (term)),
+ qweights AS (SELECT query_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY query_id)) AS weight FROM qraw),
+ met AS (SELECT query_id, doc_id, round(sum(q.weight * d.weight), 9) AS cosine FROM qweights q JOIN weights d USING (term) GROUP BY 1, 2),
+ scores AS (SELECT query_id, doc_id, max(cosine) AS cosine FROM (FROM met UNION ALL SELECT query_id, doc_id, 0 FROM (SELECT DISTINCT query_id FROM met) CROSS JOIN (SELECT doc_id FROM docs ORDER BY doc_id LIMIT 10)) GROUP BY 1, 2),
+ hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, doc_id) AS rank FROM scores QUALIFY rank <= 5)"""
+_EXCERPTS = """plain AS (SELECT doc_id, regexp_replace(text, '[\\s\\x0B]+', ' ', 'g')[1:180] AS t FROM documents WHERE text IS NOT NULL),
+ each_char AS (SELECT doc_id, i, t[i] AS c, sum(CASE WHEN unicode(t[i]) > 65535 THEN 2 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS units FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM plain)),
+ cut AS (SELECT doc_id, string_agg(c, '' ORDER BY i) AS e FROM each_char WHERE units <= 180 GROUP BY 1)"""
 _COVERAGE = f"""{_DOCS}, {_QUERIES}, known AS (SELECT DISTINCT unnest(tokens) AS term FROM docs), qt AS (SELECT query_id, unnest(tokens) AS term FROM asked),
  cov AS (SELECT a.query_id, count(k.term) AS known, count(t.term) AS total FROM asked a LEFT JOIN qt t USING (query_id) LEFT JOIN known k USING (term) GROUP BY 1)"""
 _STATUS = "CASE WHEN total = 0 THEN 'empty_after_normalization' WHEN known = 0 THEN 'oov' ELSE 'ok' END"
@@ -126,7 +136,7 @@ def oracle_sql() -> dict[str, str]:
         "vocabulary_ids": f"WITH {_DOCS}, t AS (SELECT term, count(*) AS cf FROM (SELECT unnest(tokens) AS term FROM docs) GROUP BY 1) SELECT term, row_number() OVER (ORDER BY cf DESC, term) + 1 AS term_id FROM t QUALIFY term_id <= 2001",
         "query_coverage": f"WITH {_COVERAGE} SELECT query_id, known, total FROM cov",
         "query_statuses": f"WITH {_COVERAGE} SELECT query_id, known AS known_tokens, total AS total_tokens, {_STATUS} AS status FROM cov",
-        "excerpts": "SELECT doc_id, substring(regexp_replace(text, '[\\s\\x0B]+', ' ', 'g'), 1, 180) AS excerpt FROM documents",
+        "excerpts": f"WITH {_EXCERPTS} SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(e, '') END AS excerpt FROM documents LEFT JOIN cut USING (doc_id)",
         "hashed_ids": "SELECT doc_id, 'sha256:' || sha256(text) AS id FROM documents",
         "comparison_keys": f"SELECT doc_id, {_key('title')} AS key FROM documents",
         "canonical_checks": """SELECT count(*) AS "rows", count(*) FILTER (coalesce(id, '') = '') AS empty_id, count(*) FILTER (coalesce(text, '') = '') AS empty_text,
@@ -151,7 +161,13 @@ def oracle_sql() -> dict[str, str]:
         "relevant_documents": "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM qrels WHERE score > 0)",
         "background_documents": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM qrels WHERE score > 0 AND doc_id IS NOT NULL)",
         "unknown_judgments": "SELECT query_id, doc_id FROM qrels WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM documents)",
-        "title_matches": f"WITH q AS (SELECT query_id, {_key('text')} AS key FROM query_evaluations), d AS (SELECT doc_id, {_key(_FIRST_SENTENCE)} AS key FROM documents) SELECT query_id, doc_id FROM q JOIN d USING (key)",
+        "title_matches": f"WITH q AS (SELECT query_id, {_key('text')} AS key FROM query_evaluations), d AS (SELECT doc_id, {_key('title')} AS key FROM documents UNION SELECT doc_id, {_key('text')} FROM documents) SELECT DISTINCT query_id, doc_id FROM q JOIN d USING (key) WHERE key <> ''",
+        "query_terms": f"WITH {_ASKED}, r AS (SELECT query_id, term, round(weight, 9) AS weight FROM qweights) SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, term) AS rank, round(weight, 6) AS weight FROM r QUALIFY rank <= 3",
+        "split_hits": f"WITH {_SPLIT_HITS} SELECT query_id, doc_id, round(cosine, 6) AS cosine, rank FROM hits",
+        "split_precision": f"""WITH {_SPLIT_HITS}, labels AS (SELECT doc_id, label FROM rows_),
+ each_query AS (SELECT query_id, (count(*) FILTER (q.label = d.label)) / 5 AS precision FROM hits JOIN labels q ON q.doc_id = query_id JOIN labels d ON d.doc_id = hits.doc_id GROUP BY 1)
+ SELECT count(*) AS evaluated, (SELECT count(*) FROM asked) - count(*) AS skipped, round(avg(precision), 6) AS precision, round(avg((precision > 0)::INT), 6) AS hit FROM each_query""",
+        "table_round_trip": "SELECT coalesce(id, '') AS id, coalesce(regexp_replace(text, '[\\r\\n]', ' ', 'g'), '') AS text, coalesce(label, '') AS label, coalesce(split, '') AS split FROM canonical_corpus",
         "json_attributes": "SELECT attrs->>'$.size' AS size, attrs->>'$.fit' AS fit, count(*) AS n, sum((attrs->>'$.height')::BIGINT)::BIGINT AS height, count(attrs->>'$.gift') AS gifts FROM reviews WHERE attrs IS NOT NULL GROUP BY 1, 2",
         "bayes_terms": f"WITH {_NB} SELECT term, label, round(lp, 6) AS log_probability FROM model",
         "bayes_predictions": f"WITH {_PREDICT} SELECT review_id, label, prediction FROM predicted",

@@ -15,8 +15,8 @@ from textquarry.evaluate.retrieval import aggregate_metrics, query_metrics
 from textquarry.functions.normalize import PROFILE, prepared_tokens
 from textquarry.models import store
 from textquarry.operators.dedup import load_corpus
-from textquarry.operators.terms import ranked
-from textquarry.search.index import build_index, query_status, search, with_excerpts
+from textquarry.operators.terms import ranked, sparse_cosines, term_frequencies, tfidf
+from textquarry.search.index import build_index, dual_search, query_status, search, with_excerpts
 from textquarry.session import materialize
 from textquarry.sources.readers import read_corpus, read_judgments, read_queries, read_table
 from textquarry.sources.sinks import checksum, write_json
@@ -123,9 +123,23 @@ def read_collection(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
     return documents, queries, qrels, manifest
 
 
-def evaluate(spark: SparkSession, collection: str, models: dict[str, str], output: str | None = None) -> dict:
+def _query_seconds(session: SearchSession, queries: DataFrame, most: int = 10_000) -> DataFrame:
+    """(query_id, search_seconds): each query asked alone, from its text to its hits, and measured."""
+    rows = queries.select("query_id", "text").limit(most + 1).collect()
+    if len(rows) > most:
+        raise InvalidInput(f"more than {most} queries to time one by one")
+    seconds = []
+    for r in rows:
+        began = time.perf_counter()
+        session.search(session.documents.sparkSession.createDataFrame([tuple(r)], "query_id string, text string"), 10).collect()
+        seconds.append((r["query_id"], time.perf_counter() - began))
+    return session.documents.sparkSession.createDataFrame(seconds, "query_id string, search_seconds double")
+
+
+def evaluate(spark: SparkSession, collection: str, models: dict[str, str], output: str | None = None, timed: bool = False) -> dict:
     """Metrics of each model folder over all queries of a collection, whose documents must be the model's own; all
-    queries of a model are one job. With output, a new folder gets report.json and the rows per query."""
+    queries of a model are one job, and their seconds are null. With timed each query is asked once more, alone, and
+    measured. With output, a new folder gets report.json and the rows per query."""
     if output and Path(output).exists():
         raise ModelExportError(f"{output} exists")
     documents, queries, qrels, manifest = read_collection(spark, collection)
@@ -144,8 +158,7 @@ def evaluate(spark: SparkSession, collection: str, models: dict[str, str], outpu
             return materialize(query_metrics(encoded.drop("vec", "tokens"), hits, qrels, session.zero), "metrics")
 
         rows = timings.run("search", measured)
-        share = timings.seconds["search"] / max(1, rows.count())
-        rows = rows.withColumn("search_seconds", F.lit(share))  # queries run together: an equal part each
+        rows = rows.join(_query_seconds(session, queries), "query_id", "left") if timed else rows.withColumn("search_seconds", F.lit(None).cast("double"))
         summary = aggregate_metrics(rows).first().asDict()
         if store.read_manifest(folder) != before:
             raise InvalidInput(f"{folder} changed while it was evaluated")
@@ -176,3 +189,20 @@ def explain_query(session: SearchSession, sparse: DataFrame, text: str, discrimi
     return out
 
 
+
+
+def analyze(session: SearchSession, text: str, k: int = 5) -> dict:
+    """What an LSA model makes of a query (its terms with weights, its coordinates), and the k documents nearest by
+    LSA with their TF-IDF cosine beside, over the model's vocabulary."""
+    if session.algorithm != "lsa":
+        raise InvalidInput("only LSA models have terms with weights")
+    spark = session.documents.sparkSession
+    vocabulary = session.model.vocabulary
+    asked = spark.createDataFrame([("query", text)], "query_id string, text string").select("query_id", prepared_tokens(F.col("text")).alias("tokens"))
+    weights = tfidf(term_frequencies(asked, "query_id"), vocabulary).withColumnRenamed("doc_id", "query_id")
+    explained = explain_query(session, weights, text, top=k)
+    tokens = session.documents.select("doc_id", prepared_tokens(F.col("text")).alias("tokens"))
+    sparse = sparse_cosines(weights, term_frequencies(tokens), vocabulary)
+    hits = dual_search(session.index, session.encode(asked.withColumn("text", F.lit(text))).select("query_id", "vec"), sparse, k)
+    rows = with_excerpts(hits, session.documents, 200).orderBy("rank").collect()
+    return explained | {"documents": [r.asDict() for r in rows]}

@@ -31,9 +31,16 @@ def build_session(name: str = "textquarry", master: str | None = None, **conf: s
     return builder.config(map=defaults | conf).getOrCreate()
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table as it was read, in as many parts as there are cores if it has fewer: a file of one row group would
+    otherwise be tokenized by one task. Tables with more parts are not moved."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir. Where that is unset, a master on this machine alone (as in tests)
-    gets a temporary folder, which is set; on any other it is an error, as no executor would see such a folder."""
+    gets a temporary folder, once; on any other it is an error, as no executor would see such a folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -42,8 +49,9 @@ def shared_folder(spark: SparkSession) -> str:
             master = spark.sparkContext.master
             if master != "local" and not master.startswith("local["):
                 raise InvalidInput(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
-            folder = "file://" + tempfile.mkdtemp(prefix="textquarry-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+            # The setting cannot change while a session runs, so the folder goes to its context.
+            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="textquarry-"))
+            folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return folder.rstrip("/")
 
 
