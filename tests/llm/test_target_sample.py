@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 from fractions import Fraction
 
@@ -30,14 +31,15 @@ def test_quotas_meet_demand_or_show_shortfall():
     rng = random.Random(1)
     for seed in range(50):
         cells = {(c, s): rng.randrange(60) for c in "abc" for s in "123"}
-        targets = [(c, Fraction(rng.randrange(1, 90), 100), rng.randrange(0, 40)) for c in "abcz"]
-        quota, demand, short = cell_quotas(cells, targets, Fraction(2, 5), seed)
-        for c, _, _ in targets:
+        targets = [(c, Fraction(rng.randrange(1, 90), 100), rng.randrange(0, 40), Fraction(rng.randrange(1, 10), 10)) for c in "abcz"]
+        quota, demand, short = cell_quotas(cells, targets, seed)
+        for c, share, floor, fraction in targets:
+            assert demand[c] == max(floor, math.ceil(share * fraction * sum(cells.values())))
             available = sum(n for (x, _), n in cells.items() if x == c)
             assert short[c] == max(0, demand[c] - available)
             assert sum(n for (x, _), n in quota.items() if x == c) == min(demand[c], available)
         assert all(0 <= n <= cells[k] for k, n in quota.items())
-    assert cell_quotas({}, [("a", Fraction(1, 2), 3)], Fraction(1))[2] == {"a": 3}
+    assert cell_quotas({}, [("a", Fraction(1, 2), 3, Fraction(1))])[2] == {"a": 3}
 
 
 def test_sample(spark):

@@ -18,14 +18,20 @@ from textquarry.llm.split_overlap import overlap_report, overlapping_rows, passa
 from textquarry.llm.target_sample import draw_sample, plan_sample
 from textquarry.llm.term_frequency import term_frequencies
 from textquarry.llm.vector_neighbors import nearest_vectors, similar_pairs
+from textquarry.session import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _large(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are worked on at length."""
+    return spread(_table(spark, sf_dir, name))
+
+
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("text").unionByName(_table(spark, sf_dir, "canonical_corpus").select("text"))
+    return _large(spark, sf_dir, "documents").select("text").unionByName(_large(spark, sf_dir, "canonical_corpus").select("text"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,42 +47,42 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest_vectors(_table(spark, sf_dir, "vectors"), k=5)
+    return nearest_vectors(_large(spark, sf_dir, "vectors"), k=5)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    classes, _ = near_duplicates(_table(spark, sf_dir, "lenta"), width=3, threshold=0.5, min_words=20)
+    classes, _ = near_duplicates(_large(spark, sf_dir, "lenta"), width=3, threshold=0.5, min_words=20)
     return pairs_within_classes(classes)
 
 
 def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "lenta"), width=3, threshold=0.5, min_words=20)[0]
+    return near_duplicates(_large(spark, sf_dir, "lenta"), width=3, threshold=0.5, min_words=20)[0]
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlapping_rows(*split_overlaps(_table(spark, sf_dir, "canonical_corpus")))
+    return overlapping_rows(*split_overlaps(_large(spark, sf_dir, "canonical_corpus")))
 
 
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links, members = split_overlaps(_table(spark, sf_dir, "canonical_corpus"))
+    links, members = split_overlaps(_large(spark, sf_dir, "canonical_corpus"))
     return overlap_report(links, members, passage_coverage(members))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return collapsed(_table(spark, sf_dir, "reviews"))[1]
+    return collapsed(_large(spark, sf_dir, "reviews"))[1]
 
 
 def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return collapsed(_table(spark, sf_dir, "reviews"))[0]
+    return collapsed(_large(spark, sf_dir, "reviews"))[0]
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leaks = leaked_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "query_evaluations"))
+    leaks = leaked_items(_large(spark, sf_dir, "documents"), _table(spark, sf_dir, "query_evaluations"))
     return leaks.where("shared_run >= 8").select("query_id", "doc_id")
 
 
 def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaked_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "query_evaluations"))
+    return leaked_items(_large(spark, sf_dir, "documents"), _table(spark, sf_dir, "query_evaluations"))
 
 
 def _sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,24 +110,24 @@ def p7_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_corpus(_table(spark, sf_dir, "documents"))
+    return encode_corpus(_large(spark, sf_dir, "documents"))
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))[0]
+    return mix_sources(_large(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))[0]
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))[1]
+    return mix_sources(_large(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))[1]
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    levels = reading_levels(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "reading_labels"))
+    levels = reading_levels(_large(spark, sf_dir, "documents"), _table(spark, sf_dir, "reading_labels"))
     return levels.where("band = 5 and words >= 40").select("doc_id")
 
 
 def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reading_levels(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "reading_labels"))
+    return reading_levels(_large(spark, sf_dir, "documents"), _table(spark, sf_dir, "reading_labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

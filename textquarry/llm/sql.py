@@ -80,5 +80,9 @@ def oracle_sql() -> dict[str, str]:
         "p5_found": f"WITH {_REVIEWS} SELECT kept_id, review_id FROM kept WHERE review_id <> kept_id",
         "p5_records": f"WITH {_REVIEWS} SELECT kept_id, count(*) AS copies, count(DISTINCT {{'a': review, 'b': sentiment, 'c': attrs}}) AS raw_forms FROM kept GROUP BY 1",
         "p6_found": f"WITH {_LEAKS} SELECT DISTINCT query_id, doc_id FROM qg JOIN dg USING (g)",
+        "p7_report": f"""WITH {_SAMPLE}, demands AS (SELECT dataset, category, target_share, coalesce(n, 0) AS available, greatest(min_rows, ceil(target_share::DECIMAL(18, 9) * sample_fraction::DECIMAL(9, 6) * coalesce(usable, 0)))::BIGINT AS demanded
+  FROM sample_targets LEFT JOIN counts USING (dataset, category) LEFT JOIN totals USING (dataset)),
+ drawn AS (SELECT *, least(available, demanded) AS drawn FROM demands)
+ SELECT *, demanded - drawn AS shortfall, drawn / greatest(1, sum(drawn) OVER (PARTITION BY dataset)) AS actual_share FROM drawn""",
         "p7_found": f"WITH {_SAMPLE} SELECT dataset, category FROM sample_targets LEFT JOIN counts USING (dataset, category) LEFT JOIN totals USING (dataset) WHERE coalesce(n, 0) < greatest(min_rows, target_share * sample_fraction * coalesce(usable, 0))",
     }

@@ -11,6 +11,8 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from textquarry.session import materialize
+
 
 class Flow:
     """Minimum-cost flow by successive shortest paths; costs of arcs are not negative."""
@@ -60,17 +62,17 @@ class Flow:
             total += amount
 
 
-def cell_quotas(cells: dict[tuple[str, str], int], targets: list[tuple[str, Fraction, int]], fraction: Fraction, seed: int = 0) -> tuple[dict, dict, dict]:
+def cell_quotas(cells: dict[tuple[str, str], int], targets: list[tuple[str, Fraction, int, Fraction]], seed: int = 0) -> tuple[dict, dict, dict]:
     """(quota by cell, demand by category, shortfall by category) for one dataset.
 
-    cells: available rows by (category, stratum). A category demands the larger of its floor and its share of
+    cells: available rows by (category, stratum); targets: (category, share, floor, sample fraction). A category demands the larger of its floor and its share of
     the sample, rounded up. Source arcs carry the floors and margins, cell arcs the availability; a stratum
     may take its proportional margin of what can be drawn free of cost and more at a cost, and what no cell can give
     runs over a dear slack arc, which is the shortfall. Units left over by rounding a stratum's margin go to
     randomly chosen strata, by the seed.
     """
     usable = sum(cells.values())
-    demand = {c: max(floor, math.ceil(share * fraction * usable)) for c, share, floor in targets}
+    demand = {c: max(floor, math.ceil(share * fraction * usable)) for c, share, floor, fraction in targets}
     asked = sum(min(n, sum(m for (x, _), m in cells.items() if x == c)) for c, n in demand.items())
     strata = sorted({s for _, s in cells})
     by_stratum = {s: sum(n for (_, t), n in cells.items() if t == s) for s in strata}
@@ -80,7 +82,7 @@ def cell_quotas(cells: dict[tuple[str, str], int], targets: list[tuple[str, Frac
     for s in random.Random(seed).sample(spare, min(len(spare), asked - sum(margin.values()))):
         margin[s] += 1
     flow, slack, arcs = Flow(), {}, {}
-    for c, _, floor in targets:
+    for c, _, floor, _ in targets:
         slack[c] = flow.arc(("category", c), "sink", demand[c], 1000)
         flow.arc("source", ("category", c), min(floor, demand[c]), 0)
         flow.arc("source", ("category", c), demand[c] - min(floor, demand[c]), 1)
@@ -124,8 +126,8 @@ def plan_sample(rows: DataFrame, targets: DataFrame, max_cells: int = 100_000, s
     quotas, report = [], []
     for dataset, ts in wanted.items():
         own = cells.get(dataset, {})
-        plain = [(t["category"], _exact(t["target_share"]), t["min_rows"] or 0) for t in ts]
-        quota, demand, short = cell_quotas(own, plain, _exact(ts[0]["sample_fraction"]), seed)
+        plain = [(t["category"], _exact(t["target_share"]), t["min_rows"] or 0, _exact(t["sample_fraction"])) for t in ts]
+        quota, demand, short = cell_quotas(own, plain, seed)
         quotas += [(dataset, c, s, n, own[c, s]) for (c, s), n in quota.items()]
         for t in ts:
             c = t["category"]
@@ -142,8 +144,9 @@ def draw_sample(rows: DataFrame, quotas: DataFrame, row_id: str = "row_id", seed
     """The rows of the sample: of each cell its quota, those with the smallest seeded hashes of row_id.
 
     A cell is cut into buckets by hash; whole buckets below the quota are taken as they are and only the one
-    that crosses it is ordered, so no cell is gathered or sorted as a whole. Rows with equal hash and id tie
-    by all columns as text.
+    that crosses it is ordered, so no cell is gathered or sorted as a whole. Which of rows with the same id is
+    taken, where only some are, is not defined. Buckets beyond the quota are dropped before rows are moved: the
+    plan, of at most `buckets` rows for each of the plan's bounded cells, is sent to the tasks.
     """
     hashed = rows.withColumn("stratum", F.coalesce("stratum", F.lit(""))).withColumn("_u", F.xxhash64(F.lit(seed), F.col(row_id)))
     hashed = hashed.withColumn("_bucket", F.pmod("_u", F.lit(buckets)))
@@ -151,7 +154,9 @@ def draw_sample(rows: DataFrame, quotas: DataFrame, row_id: str = "row_id", seed
     sizes = hashed.join(F.broadcast(quotas.select(*cell)), cell).groupBy(*cell, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     upto = F.sum("_n").over(_window(cell, "_bucket"))
     plan = sizes.withColumn("_upto", upto).join(F.broadcast(quotas), cell).select(*cell, "_bucket", (F.col("quota") - F.col("_upto") + F.col("_n")).alias("_take"), "_n").where("_take > 0")
-    chosen = hashed.join(plan, [*cell, "_bucket"])
+    plan = materialize(plan, "plan")
+    small = plan.count() <= 1_000_000
+    chosen = hashed.join(F.broadcast(plan) if small else plan, [*cell, "_bucket"])
     whole = chosen.where("_take >= _n")
     cut = chosen.where("_take < _n").withColumn("_rank", F.row_number().over(_window([*cell, "_bucket"], "_u", row_id))).where("_rank <= _take")
     return whole.select(*rows.columns).unionByName(cut.select(*rows.columns))
