@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from textquarry.session import shared_path
 
 
-def silhouette(vectors: DataFrame, label: str = "label", vec: str = "vec", blocks: int = 64) -> dict:
+def silhouette(vectors: DataFrame, label: str = "label", vec: str = "vec", block_rows: int = 4096) -> dict:
     """{"value", "reason", "rows", "classes"}: value is null, with a reason, for fewer than two classes or no more
     rows than classes. A row alone in its class has silhouette 0. Rows without label or vector do not count.
 
-    Rows are written once in blocks to the shared folder; each task holds one block and the sums of distances to
-    each class, and reads the others one by one."""
+    Rows are written once in blocks of about block_rows at most to the shared folder; each task holds one block and
+    the sums of distances to each class, and reads the others one by one, so its memory does not grow with the rows."""
     spark = vectors.sparkSession
     rows = vectors.where(F.col(label).isNotNull() & F.col(vec).isNotNull()).select(F.col(label).cast("string").alias("label"), F.col(vec).cast("array<double>").alias("vec"))
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -29,6 +29,7 @@ def silhouette(vectors: DataFrame, label: str = "label", vec: str = "vec", block
         return out | {"reason": "fewer than two classes"}
     if n <= len(sizes):
         return out | {"reason": "no more rows than classes"}
+    blocks = max(min(n, 64), -(-n // block_rows))
     folder = shared_path(spark, "blocks")
     rows.withColumn("block", F.pmod(F.xxhash64("vec", "label"), F.lit(blocks))).repartition(blocks, "block").write.partitionBy("block").parquet(folder)
     names = sorted(sizes)
