@@ -223,6 +223,41 @@ def test_sparse_hits_are_filled_up(spark):
     assert got == [("q", "d4", True)] + [("q", f"d{i}", False) for i in range(4)]
 
 
+def test_sparse_hits_keep_the_driver_free(spark, monkeypatch):
+    """No term of the test rows is sent or collected, however few there are; small blocks give the hits of all pairs."""
+    from textquarry.evaluate import labelled
+    from textquarry.search import blocks
+
+    def broadcast(*_args, **_kwargs):
+        raise AssertionError("test rows are scored from a table on the driver")
+
+    monkeypatch.setattr(terms, "sparse_cosines", broadcast)
+    for name, n in (("DOCUMENTS", 7), ("QUERIES", 5), ("_PAIRS", 3)):
+        monkeypatch.setattr(blocks, name, n)
+    monkeypatch.setattr(labelled, "DENSE", 4)
+    rng = random.Random(6)
+    tokens = {i: [f"t{int(rng.random() ** 2 * 30)}" for _ in range(12)] for i in range(90)}
+    texts = {f"d{i:02}": tokens[i // 2] for i in range(60)} | {f"q{i:02}": tokens[30 + i] for i in range(23)}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id string, tokens array<string>")
+    train, test = rows.where("doc_id < 'e'"), rows.where("doc_id > 'e'")
+    got = {}
+    for r in sparse_hits(train, test, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["doc_id"], r["cosine"]))
+    df = {}
+    for name, words in texts.items():
+        for t in set(words) if name < "e" else ():
+            df[t] = df.get(t, 0) + 1
+
+    def unit(words):
+        raw = {t: (1 + np.log(words.count(t))) * (np.log(61 / (1 + df[t])) + 1) for t in set(words) if t in df}
+        return {t: w / np.sqrt(sum(x * x for x in raw.values())) for t, w in raw.items()}
+
+    units = {name: unit(words) for name, words in texts.items()}
+    for q in (name for name in texts if name > "e"):
+        every = sorted((-round(sum(w * units[d].get(t, 0) for t, w in units[q].items()), 9), d) for d in texts if d < "e")[:5]
+        assert [d for d, _ in got[q]] == [d for _, d in every] and [c for _, c in got[q]] == pytest.approx([-c for c, _ in every], abs=2e-9)
+
+
 def test_sparse_cosines_joined_or_sent(spark):
     rng = random.Random(2)
     docs = spark.createDataFrame([(i, [f"t{rng.randrange(20)}" for _ in range(15)]) for i in range(40)], "doc_id long, tokens array<string>")

@@ -12,9 +12,12 @@ from textquarry.evaluate.retrieval import examples, label_precision, mean_precis
 from textquarry.evaluate.silhouette import silhouette
 from textquarry.models import lda, lsa
 from textquarry.operators import terms
+from textquarry.search.blocks import best_of_blocks, sparse_rows, sparse_scores
 from textquarry.search.index import build_index, search
 from textquarry.session import materialize
 
+DENSE = 256  # terms of the most training rows, which are compared as columns of a matrix
+
 
 def train_and_test(corpus: DataFrame, train: str = "train", test: str = "test") -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, label, split, tokens) that models may see, and those that ask; rows without label are in
@@ -23,14 +26,24 @@ def train_and_test(corpus: DataFrame, train: str = "train", test: str = "test")
     return known.where(F.col("split") == train), known.where(F.col("split") == test)
 
 
+def weighted_rows(rows: DataFrame, numbered: DataFrame, row_id: str) -> DataFrame:
+    """(row_id, ids, values): the numbers and TF-IDF weights of each row's known terms; rows without any are left out."""
+    raw = terms.term_frequencies(rows.where(F.col("doc_id").isNotNull())).join(numbered, "term")
+    pairs = F.collect_list(F.struct("term_id", ((1 + F.log("tf")) * F.col("idf")).alias("weight"))).alias("_t")
+    return raw.groupBy(F.col("doc_id").alias(row_id)).agg(pairs).select(row_id, F.col("_t.term_id").alias("ids"), F.col("_t.weight").alias("values"))
+
+
 def sparse_hits(train: DataFrame, test: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, doc_id, cosine, rank): of each test row with a term of the training rows the k best training rows by
     TF-IDF cosine, to nine decimals, ties by id. Where fewer than k share a term the first other rows by id follow
-    with 0; they are among the first 2k ids, which are a bounded list."""
+    with 0; they are among the first 2k ids, which are a bounded list. Test rows grow with the corpus, so they are
+    compared in blocks in the tasks; no term or row of either passes through the driver but DENSE terms."""
     weights = materialize(terms.idf(terms.document_frequencies(train), train.count()), "weights")
-    asked = materialize(terms.tfidf(terms.term_frequencies(test), weights).withColumnRenamed("doc_id", "query_id"), "asked")
-    scores = terms.sparse_cosines(asked, terms.term_frequencies(train), weights).withColumn("cosine", F.round("cosine", 9))
-    best = materialize(terms.ranked(scores, k), "best")
+    first = terms.top_terms(weights, DENSE, "df").select("term", (F.col("rank") - 1).cast("long").alias("_first"))
+    number = F.coalesce(F.col("_first"), F.monotonically_increasing_id() + DENSE).alias("term_id")
+    numbered = materialize(weights.join(F.broadcast(first), "term", "left").select("term", "idf", number), "numbered")
+    documents, asked = (materialize(weighted_rows(rows, numbered, c), "weighted") for rows, c in ((train, "doc_id"), (test, "query_id")))
+    best = materialize(best_of_blocks(documents, asked, k, sparse_rows(DENSE), sparse_scores, digits=9, above=0.0), "best")
     few = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.collect_list("doc_id").alias("met")).where(F.col("n") < k)
     first = train.select("doc_id").orderBy("doc_id").limit(2 * k)
     rest = few.join(F.broadcast(first.agg(F.array_sort(F.collect_list("doc_id")).alias("first"))))
