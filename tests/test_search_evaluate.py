@@ -258,6 +258,44 @@ def test_sparse_hits_keep_the_driver_free(spark, monkeypatch):
         assert [d for d, _ in got[q]] == [d for _, d in every] and [c for _, c in got[q]] == pytest.approx([-c for c, _ in every], abs=2e-9)
 
 
+def test_dense_hits_keep_the_driver_free(spark, monkeypatch):
+    """Vectors of test rows and the matrix of terms by terms are not collected; small blocks give the hits of all pairs."""
+    from textquarry.evaluate.labelled import dense_hits
+    from textquarry.models import lsa
+    from textquarry.search import blocks
+
+    for name, n in (("DOCUMENTS", 7), ("QUERIES", 5)):
+        monkeypatch.setattr(blocks, name, n)
+    rng = random.Random(7)
+    rows = [(f"d{i:02}", [f"t{rng.randrange(12)}" for _ in range(6)]) for i in range(40)] + [("d40", ["t3"]), ("d41", ["t3"]), ("d42", None)]
+    rows += [(f"q{i:02}", [f"t{rng.randrange(12)}" for _ in range(6)]) for i in range(17)] + [("q17", ["unknown"]), ("q18", ["t3"])]
+    df = spark.createDataFrame(rows, "doc_id string, tokens array<string>")
+    train, test = df.where("doc_id < 'e'"), df.where("doc_id > 'e'")
+    kind, collect = type(df), type(df).collect
+
+    def collected(self):
+        assert "part" not in self.columns and "vec" not in self.columns
+        return collect(self)
+
+    def iterated(self, *_):
+        raise AssertionError(f"{self.columns} are read by the driver")
+
+    with monkeypatch.context() as watched:
+        watched.setattr(kind, "collect", collected)
+        watched.setattr(kind, "toLocalIterator", iterated)
+        model = lsa.fit(train, 4, unit=False)
+        hits = dense_hits(model, train, test, 5).orderBy("query_id", "rank").collect()
+    vectors = {r["doc_id"]: np.array(r["vec"]) for part in (train, test) for r in lsa.transform(model, part).collect()}
+    unit = {i: v / max(np.linalg.norm(v), 1e-300) for i, v in vectors.items()}
+    got = {}
+    for r in hits:
+        got.setdefault(r["query_id"], []).append((r["doc_id"], r["cosine"]))
+    assert set(got) == {i for i in unit if i > "e"} - {"q17"} and [d for d, _ in got["q18"][:2]] == ["d40", "d41"]
+    for q, found in got.items():
+        every = sorted((float(unit[q] @ unit[d]) for d in unit if d < "e"), reverse=True)[:5]
+        assert [c for _, c in found] == pytest.approx(every) and all(float(unit[q] @ unit[d]) == pytest.approx(c) for d, c in found)
+
+
 def test_sparse_cosines_joined_or_sent(spark):
     rng = random.Random(2)
     docs = spark.createDataFrame([(i, [f"t{rng.randrange(20)}" for _ in range(15)]) for i in range(40)], "doc_id long, tokens array<string>")

@@ -12,8 +12,8 @@ from textquarry.evaluate.retrieval import examples, label_precision, mean_precis
 from textquarry.evaluate.silhouette import silhouette
 from textquarry.models import lda, lsa
 from textquarry.operators import terms
-from textquarry.search.blocks import best_of_blocks, sparse_rows, sparse_scores
-from textquarry.search.index import build_index, search
+from textquarry.search.blocks import best_of_blocks, dense_rows, dense_scores, sparse_rows, sparse_scores
+from textquarry.search.index import build_index
 from textquarry.session import materialize
 
 DENSE = 256  # terms of the most training rows, which are compared as columns of a matrix
@@ -52,8 +52,12 @@ def sparse_hits(train: DataFrame, test: DataFrame, k: int = 5) -> DataFrame:
 
 
 def dense_hits(model: lsa.Lsa, train: DataFrame, test: DataFrame, k: int = 5) -> DataFrame:
-    asked = lsa.transform(model, test).where("known_tokens > 0").withColumnRenamed("doc_id", "query_id")
-    return search(build_index(lsa.transform(model, train), keep_zero=True)[0], asked.select("query_id", "vec"), k)
+    """(query_id, doc_id, cosine, rank): as `sparse_hits`, by cosine of the model's vectors; test rows without a known
+    term or of zero length have no hit. Vectors of test rows do not pass through the driver."""
+    known = materialize(lsa.transform(model, test).where("known_tokens > 0"), "known")
+    asked = build_index(known)[0].withColumnRenamed("doc_id", "query_id")
+    documents = build_index(materialize(lsa.transform(model, train), "vectors"), keep_zero=True)[0]
+    return best_of_blocks(documents, asked, k, dense_rows, dense_scores)
 
 
 def evaluate_labelled(corpus: DataFrame, dimensions: int = 50, max_features: int = 2000, k: int = 5) -> dict:

@@ -1,7 +1,7 @@
 """Latent semantic analysis: truncated SVD of the weighted term-document matrix, from its Gram matrix.
 
-The matrix of terms by terms is summed up in the tasks and solved on the driver, so documents never leave the
-executors; its size is bounded by max_cells, whatever the corpus.
+The matrix of terms by terms is summed up and solved in tasks, so neither it nor documents leave the executors; its
+size is bounded by max_cells, whatever the corpus. The driver holds the components alone.
 """
 
 from __future__ import annotations
@@ -71,8 +71,9 @@ def _dense(batch: pa.RecordBatch, ids: int, values: int, features: int) -> np.nd
     return out
 
 
-def gram_matrix(rows: DataFrame, features: int, max_cells: int = MAX_CELLS) -> np.ndarray:
-    """Sum over documents of the outer product of their weights: one partial matrix a task, added up by rows."""
+def gram_rows(rows: DataFrame, features: int, max_cells: int = MAX_CELLS) -> DataFrame:
+    """(row, part): sum over documents of the outer product of their weights, by rows of the matrix as bytes: one
+    partial matrix a task, added up after a shuffle. Rows that no task has are zeros."""
     if features * features > max_cells:
         raise InvalidInput(f"{features} terms make more than {max_cells} cells; lower max_features")
 
@@ -83,7 +84,9 @@ def gram_matrix(rows: DataFrame, features: int, max_cells: int = MAX_CELLS) -> n
                 x = _dense(batch, 0, 1, features)
                 total += x.T @ x
         if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(features), pa.int32()), pa.array([r.tobytes() for r in total], pa.binary())], ["row", "part"])
+            for at in range(0, features, 256):
+                part = total[at : at + 256]
+                yield pa.RecordBatch.from_arrays([pa.array(range(at, at + len(part)), pa.int32()), pa.array([r.tobytes() for r in part], pa.binary())], ["row", "part"])
 
     def added(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(features)
@@ -93,12 +96,35 @@ def gram_matrix(rows: DataFrame, features: int, max_cells: int = MAX_CELLS) -> n
         yield pd.DataFrame({"row": [key[0]], "part": [total.tobytes()]})
 
     parts = rows.select("ids", "values").mapInArrow(partial, "row int, part binary")
+    return parts.groupBy("row").applyInPandas(added, "row int, part binary")
+
+
+def gram_matrix(rows: DataFrame, features: int, max_cells: int = MAX_CELLS) -> np.ndarray:
+    """The whole matrix of gram_rows, for small ones."""
     out = np.zeros((features, features))
-    for r in parts.groupBy("row").applyInPandas(added, "row int, part binary").collect():  # max_cells bounds it
+    for r in gram_rows(rows, features, max_cells).toLocalIterator():
         out[r["row"]] = np.frombuffer(r["part"])
     return out
 
 
+def solved(gram: DataFrame, features: int, components: int) -> tuple[np.ndarray, np.ndarray]:
+    """decompose of the matrix of gram_rows, in one task: the driver receives features by components numbers."""
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = np.zeros((features, features))
+        for batch in batches:
+            for row, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                whole[row] = np.frombuffer(part.as_buffer())
+        projection, values = decompose(whole, components)
+        yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in (projection, values)], ["projection", "values"])
+
+    found = gram.repartition(1).mapInArrow(solve, "projection binary, values binary").first()
+    if found is None:
+        return np.zeros((features, 0)), np.zeros(0)
+    values = np.frombuffer(found["values"]).copy()
+    return np.frombuffer(found["projection"]).reshape(features, len(values)).copy(), values
+
+
 def decompose(gram: np.ndarray, components: int) -> tuple[np.ndarray, np.ndarray]:
     """(projection, singular values), largest first; each component's largest loading is positive."""
     values, vectors = np.linalg.eigh(gram)
@@ -121,7 +147,7 @@ def fit(docs: DataFrame, dimensions: int = 50, max_features: int = 2000, doc_id:
     if n < 2 or features < 2:
         raise ModelTrainingError("two documents and two terms are needed")
     rows = sparse_rows(docs, held_vocabulary(vocabulary), doc_id, tokens)
-    projection, values = decompose(gram_matrix(rows, features), min(dimensions, n - 1, features - 1))
+    projection, values = solved(gram_rows(rows, features), features, min(dimensions, n - 1, features - 1))
     if not len(values):
         raise ModelTrainingError("no document has a known term")
     return Lsa(vocabulary, projection, values, unit)
