@@ -258,6 +258,19 @@ def test_sparse_hits_keep_the_driver_free(spark, monkeypatch):
         assert [d for d, _ in got[q]] == [d for _, d in every] and [c for _, c in got[q]] == pytest.approx([-c for c, _ in every], abs=2e-9)
 
 
+def test_split_precision_keeps_the_driver_free(spark, tmp_path, monkeypatch):
+    from textquarry.plans.queries import split_precision
+
+    def broadcast(*_args, **_kwargs):
+        raise AssertionError("test rows are scored from a table on the driver")
+
+    monkeypatch.setattr(terms, "sparse_cosines", broadcast)
+    rows = [(f"r{i:02}", f"ракета{i % 4} орбита{i % 4}", "ab"[i % 4 // 2], "test" if i >= 24 else "train") for i in range(32)]
+    rows += [("x1", "неведомое", "a", "test"), ("x2", "ракета1", None, "test"), ("x3", "ракета1", "b", "other")]
+    spark.createDataFrame(rows, "id string, text string, label string, split string").write.parquet(str(tmp_path / "canonical_corpus.parquet"))
+    assert [tuple(r) for r in split_precision(spark, str(tmp_path)).collect()] == [(8, 1, 1.0, 1.0)]
+
+
 def test_dense_hits_keep_the_driver_free(spark, monkeypatch):
     """Vectors of test rows and the matrix of terms by terms are not collected; small blocks give the hits of all pairs."""
     from textquarry.evaluate.labelled import dense_hits
