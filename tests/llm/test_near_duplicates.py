@@ -179,3 +179,34 @@ def test_links_of_large_families(spark, width, threshold):
     rng = random.Random(8)
     texts = family(rng, 40, 250) + family(rng, 60, 70)
     check_links(spark, texts + texts[:5], width, threshold)
+
+
+def check_levels(monkeypatch, run):
+    """run joins sets by way of candidate_pairs: the keys of all sets are counted, however many elements there are."""
+    from textquarry.llm import parity_join as module
+
+    original, seen = module.bucket_levels, []
+
+    def watched(sets, bands, *more):
+        out = original(sets, bands, *more)
+        seen.append(([np.frombuffer(r["elements"], np.uint64) for r in sets.select("elements").collect()], bands, out))
+        return out
+
+    monkeypatch.setattr(module, "COUNTED", 500, raising=False)
+    monkeypatch.setattr(module, "bucket_levels", watched)
+    run()
+    for sets, bands, (levels, by_chance) in seen:
+        n, sizes = np.zeros(module.BUCKETS, np.int64), np.array([len(s) for s in sets])
+        for band, at, _ in module._by_band(sizes, bands):
+            _, keys = module.cell_contents(*module.joined([sets[i] for i in at]), band, bands.cells[band])
+            n += np.bincount(module._bucket(keys), minlength=module.BUCKETS)
+        assert sizes.sum() > 2000 and (levels == (4 * np.log2(1 + n)).astype(np.uint8)).all()
+        mean = n.sum() / module.BUCKETS
+        assert by_chance == pytest.approx(mean + 4 * mean**0.5)
+    assert seen
+
+
+def test_all_shingles_are_counted(spark, monkeypatch):
+    texts = template_rows(random.Random(9), 90)
+    df = spark.createDataFrame([(i, "", t) for i, t in enumerate(texts)], "row_id long, title string, text string")
+    check_levels(monkeypatch, lambda: near_duplicates(df, width=3, threshold=0.5, min_words=20))

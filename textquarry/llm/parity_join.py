@@ -118,7 +118,6 @@ def bit_sketch(elements: np.ndarray) -> np.ndarray:
 
 
 BUCKETS = 1 << 21
-COUNTED = 1 << 23  # elements whose keys are counted for the order, at most about
 BLOCK = 1024  # sets of one key that are compared in one place
 _PART = 1 << 16
 
@@ -148,14 +147,12 @@ def _sets(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
 
 
-def bucket_levels(sets: DataFrame, bands: Bands, elements: int) -> tuple[np.ndarray, float]:
+def bucket_levels(sets: DataFrame, bands: Bands) -> tuple[np.ndarray, float]:
     """How frequent the keys of each of BUCKETS hash buckets are, as 4 * log2(1 + n) in a byte; and the sets that a
     bucket holds by chance, with four standard deviations.
 
-    Any levels give a valid order, as all sets use the same; so a sample by set_id is counted where the sets hold
-    more than COUNTED elements. The driver holds BUCKETS bytes.
+    The keys of all sets are counted. The driver holds BUCKETS bytes.
     """
-    every = max(1, -(-elements // COUNTED))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(BUCKETS, np.int32)
@@ -172,15 +169,14 @@ def bucket_levels(sets: DataFrame, bands: Bands, elements: int) -> tuple[np.ndar
         n = np.zeros(_PART, np.int64)
         for x in table.column("n"):
             n += np.frombuffer(x.as_py(), np.int32)
-        level = np.minimum(255, 4 * np.log2(1 + n * every)).astype(np.uint8)
+        level = np.minimum(255, 4 * np.log2(1 + n)).astype(np.uint8)
         return pa.table({"part": table.column("part")[:1], "level": pa.array([level.tobytes()], pa.binary()), "keys": pa.array([int(n.sum())], pa.int64())})
 
-    sample = sets.where(F.pmod("set_id", F.lit(every)) == 0).select("elements")
-    parts = sample.mapInArrow(count, "part int, n binary").groupBy("part").applyInArrow(total, "part int, level binary, keys long").collect()
+    parts = sets.select("elements").mapInArrow(count, "part int, n binary").groupBy("part").applyInArrow(total, "part int, level binary, keys long").collect()
     out, mean = np.zeros(BUCKETS, np.uint8), sum(p["keys"] for p in parts) / BUCKETS
     for part, level, _ in parts:
         out[part * _PART : (part + 1) * _PART] = np.frombuffer(level, np.uint8)
-    return out, (mean + 4 * math.sqrt(mean)) * every
+    return out, mean + 4 * math.sqrt(mean)
 
 
 def prefix_lengths(sizes: np.ndarray, filled: np.ndarray, guest: np.ndarray, low: int, bands: Bands, slack: np.ndarray) -> np.ndarray:
@@ -272,13 +268,13 @@ def candidate_pairs(sets: DataFrame, bands: Bands) -> DataFrame:
     sets = sets.where("size > 0")
     p, q = bands.threshold.numerator, bands.threshold.denominator
     sure = F.col("filled") > F.floor(2 * F.col("size").cast("long") * (q - p) / (q + p))
-    kinds = sets.groupBy(F.floor(F.log2("size")).cast("int").alias("kind"), sure.alias("sure")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("size").cast("long")).alias("elements"), F.max(1 - F.col("filled") / F.col("size")).alias("slack")).collect()
+    kinds = sets.groupBy(F.floor(F.log2("size")).cast("int").alias("kind"), sure.alias("sure")).agg(F.max(1 - F.col("filled") / F.col("size")).alias("slack")).collect()
     slack, all_sure = np.zeros(33), all(k["sure"] for k in kinds)
     for k in kinds:
         if k["sure"]:
             slack[k["kind"]] = k["slack"]
     context = sets.sparkSession.sparkContext
-    held = context.broadcast((*bucket_levels(sets, bands, sum(k["elements"] for k in kinds)), slack))
+    held = context.broadcast((*bucket_levels(sets, bands), slack))
     columns, schema = ["set_id", "elements", "side"], "key long, set_id long, sizes long, places long"
     keys = sets.select(columns).mapInArrow(lambda b: _keys(b, held.value[0], held.value[1], bands, held.value[2], False), schema)
     met = _meeting(keys, keys, bands, True)
