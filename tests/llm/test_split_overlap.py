@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from textquarry.functions.words import words
 from textquarry.llm.split_overlap import intervals, overlap_report, overlapping_rows, passage_coverage, split_overlaps
 
@@ -63,3 +65,26 @@ def test_one_sided_and_empty(spark):
         assert overlapping_rows(links, members).count() == 0
         report = overlap_report(links, members, passage_coverage(members)).collect()
         assert [(r["records"], r["overlapping"], r["pairs"], r["covered_words"]) for r in report] == [(1, 0, 0, 0)] * sum(r[2] == "test" for r in rows)
+
+
+def test_all_words_are_counted(spark, monkeypatch):
+    """With a bound of 500 elements a count of a sample would differ from that of all sets."""
+    from textquarry.llm import parity_join as module
+
+    original, seen = module.bucket_levels, []
+
+    def watched(sets, bands, *more):
+        out = original(sets, bands, *more)
+        seen.append(([np.frombuffer(r["elements"], np.uint64) for r in sets.select("elements").collect()], bands, out[0]))
+        return out
+
+    monkeypatch.setattr(module, "COUNTED", 500, raising=False)
+    monkeypatch.setattr(module, "bucket_levels", watched)
+    rows = [(f"r{i}", " ".join(f"w{(i * 7 + j * j) % 900}" for j in range(60)), ("train", "test")[i % 2], "s") for i in range(60)]
+    split_overlaps(spark.createDataFrame(rows, "id string, text string, split string, source string"))
+    sets, bands, levels = seen[0]
+    n, sizes = np.zeros(module.BUCKETS, np.int64), np.array([len(s) for s in sets])
+    for band, at, _ in module._by_band(sizes, bands):
+        _, keys = module.cell_contents(*module.joined([sets[i] for i in at]), band, bands.cells[band])
+        n += np.bincount(module._bucket(keys), minlength=module.BUCKETS)
+    assert sizes.sum() > 2000 and (levels == (4 * np.log2(1 + n)).astype(np.uint8)).all()
