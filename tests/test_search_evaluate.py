@@ -271,6 +271,30 @@ def test_split_precision_keeps_the_driver_free(spark, tmp_path, monkeypatch):
     assert [tuple(r) for r in split_precision(spark, str(tmp_path)).collect()] == [(8, 1, 1.0, 1.0)]
 
 
+def test_split_precision_sends_neither_terms_nor_labels(spark, tmp_path, monkeypatch):
+    """The tables of terms and labels grow with the corpus; small as they are here, Spark would broadcast them."""
+    from textquarry.evaluate import labelled
+    from textquarry.plans.queries import split_precision
+
+    original, plans = labelled.materialize, []
+
+    def plan_of(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    def watched(df, name):
+        if name == "weighted":
+            plans.append(plan_of(df))
+        return original(df, name)
+
+    monkeypatch.setattr(labelled, "materialize", watched)
+    rows = [(f"r{i:02}", f"ракета{i % 4} орбита{i % 4}", "ab"[i % 4 // 2], "test" if i >= 24 else "train") for i in range(32)]
+    spark.createDataFrame(rows, "id string, text string, label string, split string").write.parquet(str(tmp_path / "canonical_corpus.parquet"))
+    found = split_precision(spark, str(tmp_path))
+    assert [tuple(r) for r in found.collect()] == [(8, 0, 1.0, 1.0)]
+    plans.append(plan_of(found))
+    assert len(plans) == 3 and not any("BroadcastHashJoin" in p for p in plans)
+
+
 def test_dense_hits_keep_the_driver_free(spark, monkeypatch):
     """Vectors of test rows and the matrix of terms by terms are not collected; small blocks give the hits of all pairs."""
     from textquarry.evaluate.labelled import dense_hits

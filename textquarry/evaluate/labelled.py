@@ -27,8 +27,9 @@ def train_and_test(corpus: DataFrame, train: str = "train", test: str = "test")
 
 
 def weighted_rows(rows: DataFrame, numbered: DataFrame, row_id: str) -> DataFrame:
-    """(row_id, ids, values): the numbers and TF-IDF weights of each row's known terms; rows without any are left out."""
-    raw = terms.term_frequencies(rows.where(F.col("doc_id").isNotNull())).join(numbered, "term")
+    """(row_id, ids, values): the numbers and TF-IDF weights of each row's known terms; rows without any are left out.
+    Terms grow with the corpus, so they are joined by shuffle even where Spark would have the driver send them."""
+    raw = terms.term_frequencies(rows.where(F.col("doc_id").isNotNull())).join(numbered.hint("merge"), "term")
     pairs = F.collect_list(F.struct("term_id", ((1 + F.log("tf")) * F.col("idf")).alias("weight"))).alias("_t")
     return raw.groupBy(F.col("doc_id").alias(row_id)).agg(pairs).select(row_id, F.col("_t.term_id").alias("ids"), F.col("_t.weight").alias("values"))
 
